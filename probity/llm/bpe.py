@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from probity.llm.common import slices, table
 
 #: Pieces kept with their ids in a worker; beyond this the store starts anew, which changes no result.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 500_000
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 _NONE = 1 << 62
 
@@ -148,6 +148,18 @@ class Codec(dict):
         return b"".join(map(self.vocabulary.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
+_CODECS: dict[str, Codec] = {}
+
+
+def codec_of(document: str) -> Codec:
+    """The codec of a vocabulary document; a worker keeps the last one between tasks."""
+    key = hashlib.sha256(document.encode()).hexdigest()
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(Vocabulary.parse(document))
+    return _CODECS[key]
+
+
 def encode(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Per row of ``docs``: the id, n_tokens, digests of ids and of the decoded text, and the ids themselves if ``with_ids``.
 
@@ -162,7 +174,7 @@ def encode(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", tex
         schema = schema.add("ids", "array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Vocabulary.parse(shared.value))
+        codec = codec_of(shared.value)
         pieces = codec.vocabulary.pieces.__getitem__
         for part in slices(batches):
             counts, of_ids, of_text, ids = [], [], [], []
