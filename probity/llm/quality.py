@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 12_000, id_col
 def score(docs: DataFrame, model: PairwiseModel, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with ``score_col``: one pass over the whole texts, no shuffle."""
     schema = docs.drop(score_col).schema
-    keep = schema.names
+    keep = list(schema.names)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):

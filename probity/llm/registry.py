@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from probity.llm import bpe, quality, sharding, simhash, url_filter
+from probity.llm import ann, bpe, quality, sharding, simhash, url_filter
 
 QUERIES = {
     "op1_quality_pairwise": quality.op1_quality_pairwise,
     "op2_bpe_roundtrip": bpe.op2_bpe_roundtrip,
     "op3_url_rules": url_filter.op3_url_rules,
     "op4_bounded_ring": sharding.op4_bounded_ring,
+    "op6_block_matrix_knn": ann.op6_block_matrix_knn,
     "op9_simhash_components": simhash.op9_simhash_components,
 }
 ORACLE_SQL = {
     "op3_url_rules": url_filter.ORACLE_SQL,
+    "op6_block_matrix_knn": ann.ORACLE_SQL,
 }
