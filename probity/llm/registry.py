@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from probity.llm import ann, bpe, quality, sharding, simhash, url_filter
+from probity.llm import ann, bpe, decontaminate, quality, sharding, simhash, url_filter
 
 QUERIES = {
     "op1_quality_pairwise": quality.op1_quality_pairwise,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_rules": url_filter.op3_url_rules,
     "op4_bounded_ring": sharding.op4_bounded_ring,
     "op6_block_matrix_knn": ann.op6_block_matrix_knn,
+    "op7_greedy_tiling": decontaminate.op7_greedy_tiling,
     "op9_simhash_components": simhash.op9_simhash_components,
 }
 ORACLE_SQL = {
