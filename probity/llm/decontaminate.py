@@ -133,7 +133,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SE
     """(doc_id, item_id, coverage, matched_words, item_words, tiles, longest_tile) of every pair with enough coverage."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
-    schema = source.select("doc_id").schema.add("item_id", "long").add("coverage", "double").add("matched_words", "int").add("item_words", "int").add("tiles", "int").add("longest_tile", "int")
+    schema = source.select("doc_id").schema.add("item_id", "long").add("coverage", "double").add("matched_words", "integer").add("item_words", "integer").add("tiles", "integer").add("longest_tile", "integer")
     names = list(schema.names)
 
     def one(chunk: list[tuple[object, str | None]]) -> DataFrame:
