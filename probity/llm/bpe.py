@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from probity.llm.common import slices, table
 
@@ -171,7 +172,7 @@ def encode(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", tex
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     schema = source.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
