@@ -120,7 +120,7 @@ def score_documents(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA
             with packed(sink, row.schema) as writer:
                 writer.write_batch(row)
             document = _zip(ids.astype(np.uint32))
-            rows = [(1, hash(batch) & 0x7FFFFFFF, batch, len(document).to_bytes(8, "little") + document + hashes.tobytes(), sink.getvalue().to_pybytes())]
+            rows = [(1, batch, batch, len(document).to_bytes(8, "little") + document + hashes.tobytes(), sink.getvalue().to_pybytes())]
             tables = (keys >> np.uint64(64 - bits)).astype(np.int64)
             cuts = np.flatnonzero(np.r_[True, tables[1:] != tables[:-1]]) if len(keys) else np.zeros(0, np.int64)
             for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
