@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from probity.llm.common import partitions_for, slices, table
 
 K, QUERY_EVERY = 20, 20
-BLOCK = 2048
+BLOCK = 4096
 MAX_DIM = 1040  # 127 * 127 * 1040 < 2 ** 24
 _PAIRS = 200_000
 
@@ -138,7 +138,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, *, id_col: str =
         return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
 
     candidates = _pack(prepared(vectors), block).withColumn("c_block", F.xxhash64("ids"))
-    asked = _pack(prepared(queries), block).select("dim", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    # few partitions of queries make full blocks: every block of queries is sent to every block of candidates
+    asked = prepared(queries)
+    asked = asked.repartition(max(1, -(-asked.count() // block)), "id")
+    asked = _pack(asked, block).select("dim", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     # every block of queries meets every block of candidates once; blocks, not rows, are joined
     tiles = candidates.join(asked, "dim").repartition(width, "c_block", F.xxhash64("q_ids"))
 
