@@ -109,14 +109,15 @@ NAMES = (
     ("upl-1.0", "universal permissive", r"universal permissive licen[cs]e(?: (?:v ?|version )?1(?: 0)?)?"),
     ("blueoak-1.0.0", "blue oak", r"blue oak model licen[cs]e"),
     ("mulan-psl-2.0", "mulan", r"mulan permissive software licen[cs]e(?: (?:v ?|version )?2)?"),
-    ("odbl-1.0", "open database", r"open (?:data commons )?(?:open )?database licen[cs]e"),
+    ("odbl-1.0", "database licen", r"open (?:data commons )?(?:open )?database licen[cs]e"),
     ("odc-by-1.0", "open data commons", r"open data commons attribution licen[cs]e"),
     ("pddl-1.0", "open data commons", r"open data commons public domain dedication(?: and licen[cs]e)?"),
     ("ogl-uk-3.0", "open government", r"open government licen[cs]e(?: (?:v ?|version )?3(?: 0)?)?"),
-    ("etalab-2.0", "etalab", r"licence ouverte(?: etalab)?|etalab 2 0"),
+    ("etalab-2.0", "licence ouverte", r"licence ouverte(?: etalab)?"),
+    ("etalab-2.0", "etalab", r"etalab 2 0"),
     ("cdla-permissive-2.0", "community data", r"community data licen[cs]e agreement permissive"),
     ("cdla-sharing-1.0", "community data", r"community data licen[cs]e agreement sharing"),
-    ("openrail", "openrail", r"(?:creativeml |bigscience |bigcode )?open ?rail(?: m)?(?: licen[cs]e)?"),
+    ("openrail", "rail", r"(?:creativeml |bigscience |bigcode )?open ?rail(?: m)?(?: licen[cs]e)?"),
     ("rail", "responsible ai", r"responsible ai licen[cs]e"),
     ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
     ("cc0-1.0", "creative commons", r"creative commons (?:zero|cc0)(?: 1 0)?(?: universal)?"),
@@ -139,7 +140,7 @@ TEXTS = (
     ("mit", "permission is hereby granted", 80, r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("bsl-1.0", "permission is hereby granted", 85, r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
     ("isc", "permission to use copy modify", 80, r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution and use", 60, r"redistributions? and use in source and binary forms"),
+    ("bsd", "redistribution", 60, r"redistributions? and use in source and binary forms"),
     ("bsd-3-clause", "neither the name", 75, r"neither the name of .{1,200}? nor the names of its contributors may be used to endorse"),
     ("bsd-4-clause", "all advertising materials", 75, r"all advertising materials mentioning features or use of this software"),
     ("gpl", "this program is free software", 70, r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),
@@ -169,7 +170,7 @@ TEXTS = (
     ("commercial", "commercial licen", 35, r"commercial licen[cs]e"),
     ("permission", "with permission", 20, r"(?:used|reprinted|reproduced) with permission"),
     ("unknown-license", "see licen", 15, r"see licen[cs]e(?: (?:file|txt|md))? for details"),
-    ("unknown-license", "licensed under", 10, r"licen[cs]ed under"),
+    ("unknown-license", "ed under", 10, r"licen[cs]ed under"),
 )
 _GRANT = r"(?:licen[cs]ed|released|distributed|published|shared|available|provided|covered|free)(?: \w+){0,2}? (?:under|by|with|according to)(?: the)?(?: terms(?: and conditions)? of)?(?: the| an| a)?(?: [0-9a-z]+)?? "
 NAME_PRIORITY, GRANT_PRIORITY, SPDX_PRIORITY = 70, 90, 100
