@@ -1,6 +1,6 @@
 """Language-model scores by stupid backoff, from n-gram counts over all documents.
 
-The plan is a relational join carried out on packed columns. (1) Documents are explored in batches of about ``BATCH_TOKENS`` words; the distinct
+The plan is a relational join carried out on packed columns. (1) Documents are read in batches of about ``BATCH_TOKENS`` words; the distinct
 n-grams of a batch, of all orders, go to count tables partitioned by the high bits of a 64-bit hash, as sorted keys with counts.
 (2) Each table adds up its rows and sends every batch the total counts of the n-grams that it asked for, in its order, so keys
 travel once. (3) A batch joins the counts with the n-grams of its documents and sums the scores per document.
@@ -46,8 +46,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 def _zip(x: np.ndarray) -> bytes:
     """Integers by planes of their bytes, compressed: small ones and small steps take little room."""
+    head = len(x).to_bytes(8, "little")
+    if not len(x):
+        return head
     raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
-    return len(x).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+    return head + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unzip(data: bytes, kind: type) -> np.ndarray:
@@ -114,10 +117,9 @@ def score_documents(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA
             keys, counts = np.unique(np.concatenate([hashes[ids], *found]), return_counts=True)
             batch = base + number
             known = pa.array(doc_ids, pa.int64())
-            packed = pa.ipc.new_stream
             sink = pa.BufferOutputStream()
             row = pa.record_batch({"doc_id": known, "end": pa.array(ends, pa.int64())})
-            with packed(sink, row.schema) as writer:
+            with pa.ipc.new_stream(sink, row.schema) as writer:
                 writer.write_batch(row)
             document = _zip(ids.astype(np.uint32))
             rows = [(1, batch, batch, len(document).to_bytes(8, "little") + document + hashes.tobytes(), sink.getvalue().to_pybytes())]
