@@ -30,6 +30,7 @@ INTEGER = r"^[+-]?[0-9]+(?:_[0-9]+)*$"
 
 def read_text_table(spark: SparkSession, path: str, required: Sequence[str], optional: Sequence[str] = (), what: str = "Input") -> DataFrame:
     """Columns as stripped text, null as empty, with ``ordinal`` the record number from 2; other columns are left out."""
+    spark.catalog.refreshByPath(path)  # the file may have been written anew while an older reading of it is cached
     try:
         raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"').option("encoding", "UTF-8").option("enforceSchema", False).csv(path)
     except Exception as error:

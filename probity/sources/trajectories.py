@@ -121,6 +121,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 def read_trajectories(spark: SparkSession, path: str) -> DataFrame:
     """Annotated trajectories, in file order by ``ordinal`` (lines count from 1, blank ones too)."""
+    spark.catalog.refreshByPath(path)  # the file may have been written anew while an older reading of it is cached
     try:
         lines = spark.read.text(path)
     except Exception as error:
