@@ -12,7 +12,7 @@ counts back can be split by adaptive execution, because nothing above it needs a
 Defined cases: null texts count as empty and stay null; lines of fewer than ``MIN_TOKENS`` tokens are never dropped; a line
 repeated within one document only is kept; repeated rows count as documents of their own, but rows of the smallest id keep their
 lines; lines of rows with a null id are dropped where a recurring template has another document; a document may end up empty,
-and stays; other columns stay as they are; empty tables give empty results.
+and stays; other columns stay as they are, but for those named as the two counts; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -90,23 +90,24 @@ def recurring(keyed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return counted.where(F.col("n") >= min_docs).select("template", "first_doc")
 
 
-def drop_recurring_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the recurring lines taken out of ``text_col``, and the columns n_lines and n_dropped."""
+def drop_recurring_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "n_lines", dropped_col: str = "n_dropped") -> DataFrame:
+    """``docs`` with the recurring lines taken out of ``text_col``, and two counts, which replace columns of the same name."""
     keyed = _keyed(docs, id_col, text_col)
     paths = _paths(keyed, places=True)
     marked = paths.join(recurring(keyed, min_docs), "template").where("first_doc is not null and not (doc_id <=> first_doc)")
-    drops = marked.groupBy("row_key").agg(F.collect_set("line").alias("__drops"))
+    drops = marked.groupBy(F.col("doc_id").alias("__drop_id"), F.col("row_key").alias("__drop_key")).agg(F.collect_set("line").alias("__drops"))
     text = F.col(text_col)
     split = F.split(text, "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__drops"))
     clean = F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n")
-    joined = docs.drop("n_lines", "n_dropped").withColumn("__row_key", F.xxhash64(F.col(id_col), F.coalesce(text, F.lit("")))).join(drops, F.col("__row_key") == F.col("row_key"), "left")
+    keyed_docs = docs.drop(lines_col, dropped_col).withColumn("__row_key", F.xxhash64(F.col(id_col), F.coalesce(text, F.lit(""))))
+    # the id belongs to the key: hashes alone would meet by chance in a very large table
+    joined = keyed_docs.join(drops, (F.col("__row_key") == F.col("__drop_key")) & F.col(id_col).eqNullSafe(F.col("__drop_id")), "left")
     counted = joined.withColumns({
-        "n_lines": F.coalesce(F.size(split), F.lit(0)),
-        "n_dropped": F.coalesce(F.size("__drops"), F.lit(0)),
+        lines_col: F.when(text.isNull(), 0).otherwise(F.size(split)),
+        dropped_col: F.coalesce(F.array_size("__drops"), F.lit(0)),
     })
-    result = counted.withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.col("n_lines"))).withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)))
-    return result.withColumn(text_col, F.when(F.col("__drops").isNull(), text).otherwise(clean)).drop("__drops", "__row_key", "row_key")
+    return counted.withColumn(text_col, F.when(F.col("__drops").isNull(), text).otherwise(clean)).drop("__drops", "__row_key", "__drop_id", "__drop_key")
 
 
 def op8_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
