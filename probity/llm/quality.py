@@ -136,10 +136,10 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 12_000) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``, learned from the labels that are not held out."""
+def classify(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 12_000, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """``docs`` with a score and a prediction, learned from the labels that are not held out; columns of the same names are replaced."""
     model = fit(docs, labels.where(~held_out()), sample_rows=sample_rows)
-    return score(docs, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return score(docs, model, score_col=score_col).withColumn(predicted_col, (F.col(score_col) >= 0.5).cast("int"))
 
 
 def op1_quality_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:

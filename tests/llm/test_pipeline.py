@@ -52,6 +52,17 @@ def test_each_stage_decides_as_defined(spark, stages):
         assert got[i]["ids"] == codec.encode(t) and got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows(spark, docs, no_docs, stage):
+    """Null ids and texts, repeated rows, columns named like the operators' own, and no rows at all."""
+    sf, run = "/root/testdata/sf0.001", dict(corpus_pipeline.STAGES)[stage]
+    odd = docs.selectExpr("*", "1 as n_lines", "'x' as n_dropped", "2 as row_key", "3 as predicted", "4 as component_id", "5 as fingerprint", "6 as coverage", "7 as ids")
+    out = run(spark, odd, sf)
+    if stage != corpus_pipeline.STAGES[-1][0]:
+        assert out.dtypes == odd.dtypes and all((r["row_key"], r["predicted"], r["n_dropped"], r["ids"]) == (2, 3, "x", 7) for r in out.collect())
+    assert out.count() <= odd.count() and run(spark, no_docs, sf).count() == 0
+
+
 def test_run_is_the_stages_in_order(spark, stages):
     sf, found = stages
     assert {tuple(r) for r in corpus_pipeline.run(spark, sf).select("doc_id", "ids_sha256").collect()} == {tuple(r) for r in found[-1].select("doc_id", "ids_sha256").collect()}
