@@ -75,7 +75,10 @@ def seeded_draws(ordinals: Sequence[int], strategies: Sequence[str], seed: int,
 
 @dataclass(frozen=True)
 class Built:
-    """A strategy as columns: the produced text, what was inserted, its magnitude as text, and what must hold."""
+    """A strategy as columns: the text, what was inserted, its magnitude as text, and what must not hold.
+
+    Magnitude and rules refer to the text as the column ``produced``, so that it is computed once.
+    """
 
     text: Column
     inserted: Column
@@ -102,14 +105,14 @@ def _degradation_rules(text: Column) -> list[tuple[str, Column]]:
 
 
 def build(strategy: str, language: Language) -> Built:
-    """Columns over text, sentences, evidence_sentences and picks."""
-    text, none = F.col("text"), F.array().cast("array<string>")
+    """Columns over text, sentences, evidence_sentences, picks, and ``produced`` once the text is made."""
+    text, produced, none = F.col("text"), F.col("produced"), F.array().cast("array<string>")
     sentences, evidence = F.col("sentences"), F.col("evidence_sentences")
 
-    def added(produced: Column, inserted: Column, count: Column) -> Built:
+    def added(made: Column, inserted: Column, count: Column) -> Built:
         wrong = ~F.startswith(produced, text) | (F.length(produced) <= F.length(text))
         size = F.concat(F.lit("added_characters="), (F.length(produced) - F.length(text)).cast("string"), F.lit("; added_sentences="), count.cast("string"))
-        return Built(produced, inserted, size, [("may add text only", wrong)])
+        return Built(made, inserted, size, [("may add text only", wrong)])
 
     if strategy == "verbose_padding":
         chosen = _picked(language.padding)
@@ -120,20 +123,20 @@ def build(strategy: str, language: Language) -> Built:
         joined = F.array_join(_kept(sentences, evidence), "")
         kept = T.strip(joined)
         if strategy == "remove_evidence":
-            produced, inserted, removed = kept, none, F.length(text) - F.length(kept)
+            made, inserted, removed = kept, none, F.length(text) - F.length(produced)
             more = [("did not shorten the baseline", F.length(produced) >= F.length(text))]
         else:
             claim = F.element_at(_picked(language.assertions), 1)
-            produced, inserted, removed = F.concat(kept, F.lit(language.separator), claim), F.array(claim), F.length(text) - F.length(joined)
+            made, inserted, removed = F.concat(kept, F.lit(language.separator), claim), F.array(claim), F.length(text) - F.length(joined)
             more = [("did not insert its claim", (claim == "") | ~F.contains(produced, claim))]
-        share = F.format_string("%.3f", F.try_divide(removed.cast("double"), F.length(text).cast("double")))
+        share = T.three_decimals(F.try_divide(removed.cast("double"), F.length(text).cast("double")))
         size = F.concat(F.lit("removed_characters="), removed.cast("string"), F.lit("; removed_sentences="), F.size(evidence).cast("string"), F.lit("; removed_share="), share)
-        return Built(produced, inserted, size, more + _degradation_rules(produced))
+        return Built(made, inserted, size, more + _degradation_rules(produced))
     if strategy in PARAPHRASE:
-        produced, count = T.substitute_connectives(text, language), T.count_connectives(text, language)
+        count = T.count_connectives(text, language)
         same = T.without_connectives(text, language) == T.without_connectives(produced, language)
         rules = [("found no connective to replace", (count == 0) | (produced == text)), ("changed text outside the connective table", ~same)]
-        return Built(produced, none, F.concat(F.lit("replaced_connectives="), count.cast("string")), rules)
+        return Built(T.substitute_connectives(text, language), none, F.concat(F.lit("replaced_connectives="), count.cast("string")), rules)
     raise Refusal(f"Unknown strategy {strategy!r}.")
 
 
@@ -154,8 +157,8 @@ def variant(cases: DataFrame, strategy: str, language: Language = CHINESE, *, se
     b = build(strategy, language)
     problem = F.coalesce(*(F.when(wrong, F.lit(f"{strategy} {why}.")) for why, wrong in b.rules), F.lit(None).cast("string"))
     family = family_of(strategy)
-    return picked.select(
-        "ordinal", "case_id", F.lit(f"{family}_{strategy}").alias("variant_id"), F.lit(family).alias("variant_type"), b.text.alias("text"),
+    return picked.withColumn("produced", b.text).select(
+        "ordinal", "case_id", F.lit(f"{family}_{strategy}").alias("variant_id"), F.lit(family).alias("variant_type"), F.col("produced").alias("text"),
         _notes(strategy, b.magnitude).alias("notes"), F.lit(strategy).alias("strategy"), b.inserted.alias("inserted_text"), b.magnitude.alias("magnitude"), problem.alias("problem"),
     )
 
