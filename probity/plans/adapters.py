@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from probity.functions.languages import ENGLISH
 from probity.sources.tables import table
 
+#: English without the guards around full stops: its sentence rule is a regular expression, which SQL can state too.
+PLAIN = replace(ENGLISH, name="plain", ambiguous="")
+
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as scores: the first line of an order is the baseline, the next a gaming variant, then a degradation, then paraphrases."""
@@ -34,26 +40,30 @@ def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as repeated scores: the kind of event is the variant, its order in time the sample index."""
+    """Events as repeated scores: the kind of event is the variant, its order in time the sample index. Large values got another text."""
     kind = F.col("event_type")
-    known = table(spark, sf_dir, "events").where(kind.isin("view", "click", "error", "purchase"))
     order = W.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return known.select(
-        F.col("user_id").cast("string").alias("case_id"), kind.alias("variant_id"),
-        F.when(kind == "view", "baseline").when(kind == "click", "gaming").when(kind == "error", "degradation").otherwise("paraphrase").alias("variant_type"),
+    variant_type = F.when(kind == "view", "baseline").when(kind == "click", "gaming").when(kind == "error", "degradation").otherwise("paraphrase")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("case_id"), kind.alias("variant_id"), variant_type.alias("variant_type"),
         F.row_number().over(order).cast("long").alias("sample_index"),
         F.least(F.lit(10.0), F.col("value") / F.lit(50.0)).alias("score"),
         F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("reason"),
-        F.when(F.col("event_id") % 11 != 0, F.col("event_id") % 100).alias("prompt_tokens"), (F.col("event_id") % 7).alias("completion_tokens"),
-        (F.col("event_id") % 13 / F.lit(10.0)).alias("latency_seconds"), F.col("event_id"), F.sha2(F.col("event_id").cast("string").cast("binary"), 256).alias("input_sha256"),
+        F.when(kind != "signup", F.length("props").cast("long")).alias("prompt_tokens"), F.length("props").cast("long").alias("completion_tokens"),
+        (F.col("event_id") % 13 / F.lit(10.0)).alias("latency_seconds"), F.sha2(F.when(F.col("value") > 100, "edited").otherwise(kind).cast("binary"), 256).alias("input_sha256"),
     )
 
 
+def scored_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variants of ``samples``, each with the text that a run would send."""
+    return samples(spark, sf_dir).select("case_id", "variant_id", "variant_type", F.col("variant_id").alias("text")).distinct()
+
+
 def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents of three and more sentence ends as baselines; the second sentence counts as annotated."""
+    """All documents that have a text as baselines, stripped; the second sentence counts as annotated."""
     text = F.regexp_replace("text", r"^[\s]+|[\s]+$", "")
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("case_id"), text.alias("text"), F.col("doc_id").alias("ordinal"))
-    return docs.where(F.regexp_count("text", F.lit("[.!?]")) >= 3).select("case_id", "text", F.array(F.lit(2).cast("long")).alias("evidence_sentences"), F.lit("").alias("notes"), "ordinal")
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return docs.select(F.col("doc_id").cast("string").alias("case_id"), text.alias("text"), F.array(F.lit(2).cast("long")).alias("evidence_sentences"), F.lit("").alias("notes"), F.col("doc_id").alias("ordinal"))
 
 
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:

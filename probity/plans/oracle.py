@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from probity.functions.languages import BOUNDARIES, CHINESE, ENGLISH, Language
+from probity.functions.languages import BOUNDARIES, ENGLISH, Language
 from probity.operators.audit import T_THOUSANDTHS
 
 SEED, REPEATS = 7, 5
@@ -77,16 +77,15 @@ METRICS = ("mean_gaming_gain", "worst_gaming_gain", "mean_degradation_drop", "we
 SAMPLES = """
 samples as (select user_id::varchar as case_id, event_type as variant_id, case event_type when 'view' then 'baseline' when 'click' then 'gaming' when 'error' then 'degradation' else 'paraphrase' end as variant_type,
   row_number() over (partition by user_id, event_type order by ts, event_id)::bigint as sample_index, least(10.0::double, value / 50.0::double) as score, 'event ' || event_id as reason,
-  case when event_id % 11 <> 0 then event_id % 100 end as prompt_tokens, event_id % 7 as completion_tokens, (event_id % 13) / 10.0::double as latency_seconds, event_id, sha256(event_id::varchar) as input_sha256
-  from events where event_type in ('view', 'click', 'error', 'purchase'))"""
+  case when event_type <> 'signup' then len(props) end as prompt_tokens, len(props) as completion_tokens, (event_id % 13) / 10.0::double as latency_seconds, sha256(case when value > 100 then 'edited' else event_type end) as input_sha256
+  from events)"""
 STATE = f"""
-planned as (select * from samples where sample_index <= {REPEATS}),
-state as (select * replace (case when event_id % 17 = 0 then sha256('other') else input_sha256 end as input_sha256) from samples where event_id % 10 < 6 and sample_index <= {REPEATS + 1})"""
+planned as (select case_id, variant_id, variant_type, k.i::bigint as sample_index, sha256(variant_id) as input_sha256 from (select distinct case_id, variant_id, variant_type from samples) cross join (select unnest(range(1, {REPEATS + 1})) as i) k),
+state as (select * from samples)"""
 
 _SPACES = r"[\s\x0B\x1C-\x1F]"
 BASELINES = """
-b as (select doc_id::varchar as case_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as text, doc_id as ordinal from documents where lang = 'en'),
-baselines as (select * from b where len(regexp_extract_all(text, '[.!?]')) >= 3)"""
+baselines as (select doc_id::varchar as case_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as text, doc_id as ordinal from documents where text is not null)"""
 
 
 def _class(characters: str, negated: bool = False) -> str:
@@ -94,7 +93,7 @@ def _class(characters: str, negated: bool = False) -> str:
     return f"[{'^' if negated else ''}{escaped}]"
 
 
-def _sentences(text: str, language: Language = CHINESE) -> str:
+def _sentences(text: str, language: Language = ENGLISH) -> str:
     ends = language.terminators
     return f"regexp_extract_all({text}, {_q('(?s)' + _class(ends, True) + '*' + _class(ends) + _class(language.closers) + '*|' + _class(ends, True) + '+$')})"
 
@@ -149,7 +148,7 @@ select case_id, t{last} as text, 'generated=connective_substitution | replaced_c
 
 MERGED = f"""
 gen as (select case_id, ordinal, 'gaming_rubric_flattery' as variant_id, text || ' ' || {_q(ENGLISH.flattery)} as text from split),
-ex as (select case_id, case when ordinal % 7 = 0 then 'by_hand' else variant_id end as variant_id, case when ordinal % 5 = 0 then text || ' edited' else text end as text from gen where ordinal % 4 <> 0),
+ex as (select case_id, case when starts_with(text, 'T') then 'by_hand' else variant_id end as variant_id, case when contains(text, '!') then text || ' edited' else text end as text from gen where not regexp_matches(text, '[0-9]')),
 merged as (select case_id, variant_id, case when e.text is null then 'appended' when g.text is null then 'foreign' when g.text = e.text then 'preserved' else 'edited' end as merge_class, coalesce(e.text, g.text) as text
   from gen g full join ex e using (case_id, variant_id))"""
 
@@ -216,7 +215,7 @@ select case_id, variant_id, case when a is null then 'reference' else 'candidate
     "report_order": f"{BOTH}, {COMPARED} select case_id, variant_id, status, list_position({_list(STATUSES)}, status)::integer as status_rank, round(abs(severity_change), 9) as size from compared order by 4, 5 desc, 1, 2",
     "repeat_aggregate": f"with {SAMPLES} select case_id, variant_id, variant_type, round(avg(score), 9) as score, round(stddev_samp(score), 9) as score_stddev, count(*) as sample_count, arg_min(reason, sample_index) as first_reason from samples group by 1, 2, 3",
     "token_totals": f"with {SAMPLES} select case when count(*) = count(prompt_tokens) then sum(prompt_tokens)::bigint end as prompt_tokens_total, case when count(*) = count(completion_tokens) then sum(completion_tokens)::bigint end as completion_tokens_total from samples",
-    "latency_totals": f"""with {SAMPLES}, r as (select *, event_id % 10 < 6 as resumed from samples) select count(*) as sample_count, count(*) filter (resumed) as resumed_sample_count, count(*) filter (not resumed) as new_sample_count,
+    "latency_totals": f"""with {SAMPLES}, r as (select *, sample_index <= 2 as resumed from samples) select count(*) as sample_count, count(*) filter (resumed) as resumed_sample_count, count(*) filter (not resumed) as new_sample_count,
   round(sum(latency_seconds), 9) as total_sample_latency_seconds, round(sum(latency_seconds) filter (not resumed), 9) as new_sample_latency_seconds from r""",
     "resume_missing": f"with {SAMPLES}, {STATE} select case_id, variant_id, sample_index from planned anti join state using (case_id, variant_id, sample_index)",
     "resume_foreign": f"with {SAMPLES}, {STATE} select case_id, variant_id, sample_index from state anti join planned using (case_id, variant_id, sample_index)",
@@ -238,7 +237,7 @@ select case_id, variant_id, case when a is null then 'reference' else 'candidate
     "review_checks": f"with {DRAFTS} select case_id, blocking_checks, review_notes, status from reviewed",
     "review_tally": f"with {DRAFTS} select s as status, count(reviewed.case_id) as n from (select unnest(['pending', 'blocked', 'approved', 'rejected']) as s) left join reviewed on status = s group by s",
     "ratified_rows": f"""with {DRAFTS}, {BASELINES} select r.case_id, 'paraphrase_ratified' as variant_id, r.draft_text as text, 'generated=human_ratified_paraphrase' as notes from reviewed r join baselines k on k.case_id = r.case_id and sha256(k.text) = sha256(r.baseline_text)
-where r.status = 'pending' and k.ordinal % 5 <> 0""",
+where r.status = 'pending' and not regexp_matches(k.text, '[0-9]')""",
     "traj_render": f"with {TRAJECTORIES} {RENDERED}",
     "traj_redundant_tool_calls": f"""with {TRAJECTORIES}, p as (select *, {_FIRST} as a from steps), q as (select *, i in (a, a % n + 1) as again from p),
 o as (select *, row_number() over (partition by case_id order by i, d) as new_i from (select *, unnest(case when again then [1, 2] else [1] end) as d from q)),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from probity.functions import text as T
 from probity.functions.fingerprint import CASE_FIELDS, row_fingerprint
-from probity.functions.languages import CHINESE, ENGLISH
+from probity.functions.languages import ENGLISH
 from probity.operators import audit, compare, paraphrase, scoring, trajectory, variants
 from probity.plans import adapters as A
 from probity.plans import oracle
@@ -20,7 +20,7 @@ CONFIG = audit.AuditConfig()
 SCALED = audit.AuditConfig(score_min=0.0, score_max=10.0)
 #: A range that some scores break, so that the query of violations has rows.
 NARROW = audit.AuditConfig(score_min=1.0, score_max=9.0)
-RESUME_AFTER, REPEATS, SEED = 0.6, 5, 7
+RESUMED, REPEATS, SEED = 2, 5, 7
 ROUND = 9
 
 
@@ -145,17 +145,17 @@ def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latency_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scoring.latency_totals(A.samples(spark, sf_dir).withColumn("resumed", F.col("event_id") % 10 < int(RESUME_AFTER * 10)))
+    """The first samples of each variant as resumed ones."""
+    found = scoring.latency_totals(A.samples(spark, sf_dir).withColumn("resumed", F.col("sample_index") <= RESUMED))
     return rounded(found, "total_sample_latency_seconds", "new_sample_latency_seconds")
 
 
 def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.samples(spark, sf_dir).where(F.col("sample_index") <= REPEATS)
+    return scoring.plan(A.scored_cases(spark, sf_dir), REPEATS)
 
 
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = A.samples(spark, sf_dir).where(F.col("event_id") % 10 < int(RESUME_AFTER * 10))
-    return kept.where(F.col("sample_index") <= REPEATS + 1).withColumn("input_sha256", F.when(F.col("event_id") % 17 == 0, F.sha2(F.lit("other").cast("binary"), 256)).otherwise(F.col("input_sha256")))
+    return A.samples(spark, sf_dir)
 
 
 def resume_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,9 +176,9 @@ def planned_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences with the marks of the Chinese rule, which a regular expression states; numbered from 1."""
+    """Sentences by their marks alone, which a regular expression states; numbered from 1."""
     docs = A.baselines(spark, sf_dir)
-    return docs.select("case_id", F.posexplode(T.sentences(F.col("text"), CHINESE)).alias("at", "sentence")).select("case_id", (F.col("at") + 1).cast("long").alias("number"), "sentence")
+    return docs.select("case_id", F.posexplode(T.sentences(F.col("text"), A.PLAIN)).alias("at", "sentence")).select("case_id", (F.col("at") + 1).cast("long").alias("number"), "sentence")
 
 
 def sentence_split_english(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,8 +188,9 @@ def sentence_split_english(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baselines with their sentences; one of a single sentence is none, because nothing is left without the evidence."""
     cases = A.baselines(spark, sf_dir)
-    return cases.withColumn("sentences", T.sentences(F.col("text"), CHINESE)).where(F.size("sentences") >= 2)
+    return cases.withColumn("sentences", T.sentences(F.col("text"), A.PLAIN)).where(F.size("sentences") >= 2)
 
 
 def _variant(strategy: str, language=ENGLISH) -> Query:
@@ -212,9 +213,10 @@ def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _existing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _generated(spark, sf_dir).where(F.col("ordinal") % 4 != 0)
-    edited = kept.withColumn("text", F.when(F.col("ordinal") % 5 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")))
-    return edited.withColumn("variant_id", F.when(F.col("ordinal") % 7 == 0, "by_hand").otherwise(F.col("variant_id")))
+    """A file as people left it: texts with numbers removed from it, those with exclamation marks edited, those that begin with T renamed."""
+    kept = _generated(spark, sf_dir).where("not text rlike '[0-9]'")
+    edited = kept.withColumn("text", F.when(F.contains("text", F.lit("!")), F.concat("text", F.lit(" edited"))).otherwise(F.col("text")))
+    return edited.withColumn("variant_id", F.when(F.startswith("text", F.lit("T")), "by_hand").otherwise(F.col("variant_id")))
 
 
 def merge_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +239,7 @@ def review_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ratified_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approved drafts as variants, less those already present: the relational part, on hashes that both engines have."""
     review = paraphrase.checked(A.drafts(spark, sf_dir), ENGLISH).where("status = 'pending'")
-    present = A.baselines(spark, sf_dir).where(F.col("ordinal") % 5 == 0).select("case_id")
+    present = A.baselines(spark, sf_dir).where("text rlike '[0-9]'").select("case_id")
     known = A.baselines(spark, sf_dir).select("case_id", F.sha2(F.col("text").cast("binary"), 256).alias("expected"))
     joined = review.join(known, "case_id").where(F.sha2(F.col("baseline_text").cast("binary"), 256) == F.col("expected"))
     return joined.join(present, "case_id", "left_anti").select("case_id", F.lit("paraphrase_ratified").alias("variant_id"), F.col("draft_text").alias("text"), F.lit("generated=human_ratified_paraphrase").alias("notes"))
