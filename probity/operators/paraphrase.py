@@ -25,9 +25,15 @@ def messages(text: str, language: Language) -> list[dict[str, str]]:
 
 
 def checked(pairs: DataFrame, language: Language = CHINESE) -> DataFrame:
-    """Checks of drafts from (baseline_text, draft_text): blocking_checks, review_notes and status, all native."""
-    b, d = F.col("baseline_text"), F.col("draft_text")
-    return pairs.withColumns({"blocking_checks": T.blocking_checks(b, d), "review_notes": T.review_notes(b, d, language)}).withColumn("status", T.review_status(F.col("blocking_checks")))
+    """Checks of drafts from (baseline_text, draft_text): blocking_checks, review_notes and status, all native.
+
+    What the checks share is computed in steps, as columns, so that no lambda strips or searches a text again for each number.
+    """
+    stripped = pairs.withColumns({"__b": T.strip(F.col("baseline_text")), "__d": T.strip(F.col("draft_text"))})
+    b, d = F.col("__b"), F.col("__d")
+    counted = stripped.withColumns({"__gone": T.missing_numbers(b, d, language), "__before": T.negations(b, language), "__after": T.negations(d, language), "blocking_checks": T.blocking_checks(b, d)})
+    notes = T.review_notes(d, F.col("__gone"), F.col("__before"), F.col("__after"))
+    return counted.withColumns({"review_notes": notes, "status": T.review_status(F.col("blocking_checks"))}).drop("__b", "__d", "__gone", "__before", "__after")
 
 
 def draft(cases: DataFrame, make_rewriter: Callable[[], Rewriter], language: Language = CHINESE) -> DataFrame:
