@@ -250,17 +250,22 @@ def scan(text: str | None) -> Scan:
     places, base = [], set()
     for phrase, label in BASE:
         wanted = b" " + phrase.encode() + b" "
-        at = padded.find(wanted)
+        at, before, number = padded.find(wanted), 0, 0
         while at >= 0:
-            places.append(padded.count(b" ", 0, at))
+            number += padded.count(b" ", before, at)
+            places.append(number)
             base.add(label)
-            at = padded.find(wanted, at + 1)
+            at, before = padded.find(wanted, at + 1), at
     decoded = joined.decode("utf-8", "replace")
     found = detect(decoded)
-    spans = tuple((decoded.count(" ", 0, s), decoded.count(" ", 0, e) + 1, label) for s, e, label, _ in found)
+    spans, before, number = [], 0, 0
+    for start, end, label, _ in found:  # in order of place, so that a text is counted through once
+        number += decoded.count(" ", before, start)
+        before = start
+        spans.append((number, number + decoded.count(" ", start, end) + 1, label))
     score = max([p / 100 for *_, p in found] + [0.7] * bool(base) + [0.0])
     labels = sorted(base | {label for _, _, label, _ in found})
-    return Scan(len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(labels), score, spans)
+    return Scan(len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(labels), score, tuple(spans))
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
