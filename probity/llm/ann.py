@@ -3,8 +3,12 @@
 Vectors are quantised to int8 with a scale of their own and packed into blocks; every block of queries meets every block of
 candidates in a tile. The product of the int8 blocks (integers, exact in float32 up to ``MAX_DIM`` components) gives every inner
 product up to an error that the vectors' norms and residual norms bound (Cauchy-Schwarz). Pairs whose upper bound reaches the
-tile's k-th largest lower bound survive, are computed again in double precision from the original vectors, and heaps merge the
-tiles' lists. The result is exact: no index, sample or cap.
+k-th largest lower bound known so far survive, are computed again in double precision from the original vectors, and heaps merge
+the lists of tiles and cells. The result is exact: no index, sample or cap.
+
+The tiles are dealt over a grid, as for a product of matrices: a row of the grid has ``ROW_BLOCKS`` blocks of queries, which fit in
+a worker whatever the input, and a column a share of the candidates' blocks. A cell keeps its queries and streams its candidates,
+so a block of queries is sent once for each column and a block of candidates once for each row; no key is shared by all blocks.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do rows with a null id;
 vectors are compared only with those of the same length; ties go to the smaller vec_id; rows that repeat a vec_id stand for one
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from probity.llm.common import partitions_for, slices, table
 
 K, QUERY_EVERY = 20, 20
-BLOCK = 4096
+BLOCK, ROW_BLOCKS = 4096, 8
 MAX_DIM = 1040  # 127 * 127 * 1040 < 2 ** 24
 _PAIRS = 200_000
 
@@ -48,8 +52,11 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def search_tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
-    """For each query row its k nearest candidates of the tile: (score, vec_id), ties to smaller ids."""
+def search_tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, least: np.ndarray | None = None) -> Iterator[tuple[int, list[tuple[float, int]]]]:
+    """(row, [(score, vec_id)]) of each query row: its k nearest candidates of the tile, ties to smaller ids.
+
+    ``least`` holds for each row a score that k candidates are known to reach; what is certainly lower may be left out.
+    """
     order = np.lexsort((c_ids, *c.T[::-1])) if len(c) > 1 else np.arange(len(c))
     c_ids, c = c_ids[order], c[order]
     # of equal vectors only the k + 1 smallest ids can be among a query's k nearest
@@ -73,6 +80,8 @@ def search_tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarr
         error = qn[rows, None] * cr[None, :] + qr[rows, None] * approx_norm[None, :]
         error += 1e-9 * (qn[rows, None] * cn[None, :]) + 1e-300
         low = np.partition(dot - error, len(c) - wide, axis=1)[:, len(c) - wide]
+        if least is not None:
+            low = np.maximum(low, least[rows])
         i, j = np.nonzero(dot + error >= low[:, None])
         own = q_ids[at + i] == c_ids[j]
         i, j = i[~own], j[~own]
@@ -86,7 +95,7 @@ def search_tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarr
                 best.setdefault(int(c_ids[j[s]]), float(exact[s]))
                 if len(best) == k:
                     break
-            yield int(q_ids[at + r]), [(score, vec) for vec, score in best.items()]
+            yield at + r, [(score, vec) for vec, score in best.items()]
 
 
 def merge(lists: list[list[tuple[float, int]]], k: int) -> list[tuple[float, int]]:
@@ -137,26 +146,47 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, *, id_col: str =
     def prepared(df: DataFrame) -> DataFrame:
         return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
 
-    candidates = _pack(prepared(vectors), block).withColumn("c_block", F.xxhash64("ids"))
-    # few partitions of queries make full blocks: every block of queries is sent to every block of candidates
+    # few even partitions of queries make full blocks; ROW_BLOCKS of them are a row of the grid
     asked = prepared(queries)
-    asked = asked.repartition(max(1, -(-asked.count() // block)), "id")
-    asked = _pack(asked, block).select("dim", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    # every block of queries meets every block of candidates once; blocks, not rows, are joined
-    tiles = candidates.join(asked, "dim").repartition(width, "c_block", F.xxhash64("q_ids"))
+    blocks = max(1, -(-asked.count() // block))
+    rows = -(-blocks // ROW_BLOCKS)
+    columns = max(1, -(-width // rows))
+    grid_row = F.floor(F.spark_partition_id() / ROW_BLOCKS).cast("int")
+    asked_blocks = _pack(asked.repartition(blocks), block).select(F.lit(0).alias("side"), F.least(grid_row, F.lit(rows - 1)).alias("row"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column"), "dim", "ids", "data")
+    known_blocks = _pack(prepared(vectors), block).select(F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row"), F.pmod(F.xxhash64("ids"), F.lit(columns)).cast("int").alias("column"), "dim", "ids", "data")
+    cells = asked_blocks.unionByName(known_blocks).repartition(width, "row", "column").sortWithinPartitions("row", "column", "side")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cell by cell: the queries are kept, every block of candidates is met once, and each query's list leaves at the end."""
+        cell, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for q_ids, _, best, _ in held:
+                found = [(i, x) for i, x in zip(q_ids.tolist(), best) if x]
+                yield pa.record_batch({"query_id": pa.array([i for i, _ in found], pa.int64()), "scores": pa.array([[s for s, _ in x] for _, x in found], pa.list_(pa.float64())), "vec_ids": pa.array([[v for _, v in x] for _, x in found], pa.list_(pa.int64()))})
+
         for part in slices(batches, 1):
-            row = part.to_pylist()[0]
-            dim = row["dim"]
+            side, row, column, dim, ids, data = (part.column(c)[0].as_py() for c in ("side", "row", "column", "dim", "ids", "data"))
             if dim > MAX_DIM:
                 raise ValueError(f"vectors of {dim} components: int8 products are exact up to {MAX_DIM}")
-            q_ids, c_ids = (np.frombuffer(row[c], "<i8") for c in ("q_ids", "ids"))
-            q, c = (np.frombuffer(row[x], "<f4").reshape(-1, dim) for x in ("q_data", "data"))
-            found = [(i, x) for i, x in search_tile(q_ids, q, c_ids, c, k) if x]
-            yield pa.record_batch({"query_id": pa.array([i for i, _ in found], pa.int64()), "scores": pa.array([[s for s, _ in x] for _, x in found], pa.list_(pa.float64())), "vec_ids": pa.array([[v for _, v in x] for _, x in found], pa.list_(pa.int64()))})
-
-    lists = tiles.mapInArrow(search, "query_id long, scores array<double>, vec_ids array<long>")
+            if (row, column) != cell:
+                yield from out()
+                cell, held = (row, column), []
+            ids, data = np.frombuffer(ids, "<i8"), np.frombuffer(data, "<f4").reshape(-1, dim)
+            if side == 0:
+                held.append((ids, data, [[] for _ in ids], np.full(len(ids), -np.inf)))
+                continue
+            for q_ids, q, best, least in held:
+                if q.shape[1] != dim:
+                    continue
+                for r, found in search_tile(q_ids, q, ids, data, k, least):
+                    if found:
+                        best[r] = merge([best[r], found], k)
+                        if len(best[r]) == k:
+                            least[r] = best[r][-1][0]
+        yield from out()
+
+    lists = cells.mapInArrow(search, "query_id long, scores array<double>, vec_ids array<long>")
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(query: int, kept: list[tuple[float, int]]) -> pa.RecordBatch:

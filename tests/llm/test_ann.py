@@ -37,6 +37,16 @@ def test_as_by_brute_force(spark, block):
     assert len(got) == len(found) and got == exact(good, queries, 20)
 
 
+def test_every_cell_of_the_grid(spark, monkeypatch):
+    """More rows and columns of cells than one: the same result as by brute force."""
+    monkeypatch.setattr(ann, "ROW_BLOCKS", 2)
+    rng = np.random.default_rng(4)
+    good = [(i, rng.normal(size=8).round(1).tolist()) for i in range(400)]
+    table = vectors_of(spark, [(i, v, 0.0, 0) for i, v in good]).repartition(5)
+    found = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(table, table.where("vec_id % 5 = 0"), 7, block=6).collect()}
+    assert found == exact(good, [(i, v) for i, v in good if i % 5 == 0], 7)
+
+
 def test_quantisation_error_is_within_its_bound():
     rng = np.random.default_rng(3)
     x, y = rng.normal(size=(50, 32)), rng.normal(size=(60, 32)) * rng.uniform(0.01, 100, (60, 1))
