@@ -150,7 +150,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, *, id_col: str =
     asked = prepared(queries)
     blocks = max(1, -(-asked.count() // block))
     rows = -(-blocks // ROW_BLOCKS)
-    columns = max(1, -(-width // rows))
+    columns = max(1, -(-2 * width // rows))  # two cells a task, so that tasks even out
     grid_row = F.floor(F.spark_partition_id() / ROW_BLOCKS).cast("int")
     asked_blocks = _pack(asked.repartition(blocks), block).select(F.lit(0).alias("side"), F.least(grid_row, F.lit(rows - 1)).alias("row"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column"), "dim", "ids", "data")
     known_blocks = _pack(prepared(vectors), block).select(F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row"), F.pmod(F.xxhash64("ids"), F.lit(columns)).cast("int").alias("column"), "dim", "ids", "data")
