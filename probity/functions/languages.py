@@ -40,33 +40,62 @@ class Language:
     measures: tuple[str, ...] = ()
 
 
-def _pairs(text: str, capitals: bool = False) -> tuple[tuple[str, str], ...]:
-    """Pairs from ``source=target`` entries; with ``capitals`` each also with a capital first letter. Longer sources first."""
-    pairs = [tuple(p.strip().replace("_", " ") for p in entry.split("=")) for entry in text.split()]
-    if capitals:
-        pairs = [p for a, b in pairs for p in ((a[:1].upper() + a[1:], b[:1].upper() + b[1:]), (a, b))]
-    return tuple(sorted(pairs, key=lambda p: (-len(p[0]), p[0])))
-
+# Fixed values. Existing case files, manifests and recorded results depend on every character of them: sentence ends, stock
+# sentences, connectives, markers, numerals, measure words, labels and the mark of an empty result.
+BOUNDARIES = "，,。！？；!?;：: \t\n"
+CHINESE_PADDING = (
+    "此外，时间自古以来就是人类文明反复讨论的主题，许多哲学家都为此写过长篇著作。",
+    "值得一提的是，现代社会普遍强调效率与节奏，各行各业都在谈论这一点。",
+    "顺带一提，语言本身的演变也是一个漫长的过程，历代学者对此有不同看法。",
+    "另外，人们在日常生活中往往会遇到各种各样的选择，这早已是常见现象。",
+    "顺便说明，技术进步与社会变迁之间的关系，长期以来受到广泛关注。",
+    "还需要指出，不同地区的习惯与传统存在差异，这一点众所周知。",
+)
+CHINESE_FLATTERY = "本文论证严密、结构清晰、逻辑连贯、表达准确，充分体现了优秀的写作水平与思辨能力。"
+CHINESE_ASSERTIONS = ("这显然是正确的选择。", "任何人都会同意这一点。", "事实本来就应该如此。")
+CHINESE_CONNECTIVES = (
+    ("因此", "所以"), ("此外", "另外"), ("但是", "然而"), ("例如", "比如"), ("虽然", "尽管"), ("而且", "并且"),
+    ("因为", "由于"), ("不过", "然而"), ("首先", "第一"), ("其次", "第二"), ("总之", "综上"), ("但", "然而"),
+)
+CHINESE_NEGATIONS = ("不", "没", "无", "非", "未", "莫", "勿")
+CHINESE_NUMERALS = "零一二三四五六七八九十百千万亿两"
+CHINESE_MEASURES = (
+    "小时", "分钟", "公里", "个", "点", "分", "秒", "天", "周", "月", "年", "名", "位", "条", "次", "项",
+    "倍", "成", "岁", "级", "班", "人", "元", "米", "页", "章", "节", "所", "家", "份", "种", "类",
+)
+ENGLISH_PADDING = (
+    "Incidentally, time has been a recurring subject of human thought, and many philosophers have written at length about it.",
+    "It is worth noting that modern society places a general emphasis on efficiency, a point raised across many industries.",
+    "As an aside, language itself changes slowly, and scholars have long disagreed about how that happens.",
+    "Separately, people encounter a wide range of choices in daily life, which has long been commonplace.",
+    "By way of background, the relationship between technology and social change has attracted sustained attention.",
+    "It should also be mentioned that customs differ between regions, as is widely known.",
+)
+ENGLISH_FLATTERY = "This essay is rigorously argued, clearly structured, logically coherent and precisely expressed, demonstrating excellent writing and critical thinking."
+ENGLISH_ASSERTIONS = ("This is obviously the right choice.", "Anyone would agree with this.", "That is simply how things ought to be.")
+ENGLISH_CONNECTIVES = (
+    ("Therefore", "Thus"), ("therefore", "thus"), ("However", "Nevertheless"), ("however", "nevertheless"),
+    ("For example", "For instance"), ("for example", "for instance"), ("In addition", "Additionally"), ("in addition", "additionally"),
+    ("Moreover", "Furthermore"), ("moreover", "furthermore"), ("Although", "Though"), ("although", "though"), ("Finally", "Lastly"), ("finally", "lastly"),
+)
+ENGLISH_NEGATIONS = ("not", "no", "never", "cannot", "without", "neither", "nor")
+ENGLISH_ABBREVIATIONS = ("dr", "mr", "mrs", "ms", "prof", "sr", "jr", "st", "vs", "etc", "eg", "ie", "cf", "approx", "fig", "al", "inc", "ltd", "co", "dept", "est")
+CHINESE_LABELS = Labels(task="任务", step="步骤", tool="工具", args="参数", result="结果", note="说明", answer="最终答案", mark="：")
+ENGLISH_LABELS = Labels(task="Task", step="Step", tool="Tool", args="Arguments", result="Result", note="Note", answer="Final answer", mark=": ")
+# End of the fixed values.
 
 CHINESE = Language(
     name="chinese",
     terminators="。！？；!?;",
     closers="”’）】》」』\"')]",
-    labels=Labels("任务", "步骤", "工具", "参数", "结果", "说明", "最终答案", "："),
-    padding=(
-        "顺便补充一句，城市的天气总在变化，人们早已习以为常。",
-        "从另一个角度说，书店和咖啡馆近年来都有各自的读者群体。",
-        "与此同时，交通方式的选择也常常成为街头巷尾的话题。",
-        "再说一点，四季更替对日常安排的影响，许多人都有体会。",
-        "题外话是，传统节日的庆祝方式在各个地方并不完全一样。",
-        "补充背景：通信工具的变化改变了人们保持联系的方式。",
-    ),
-    flattery="全文立意深远，层次分明，论述周密，语言精准，是一篇难得的优秀之作。",
-    assertions=("道理本就明摆在那里。", "这一结论毋庸置疑。", "大家心里都清楚应当如此。"),
-    connectives=_pairs("总之=综上 其次=第二 首先=第一 不过=然而 因为=由于 而且=并且 虽然=尽管 例如=比如 但是=然而 此外=另外 因此=所以 但=然而"),
-    negations=tuple("勿莫未非无没不"),
-    numerals="两亿万千百十九八七六五四三二一零",
-    measures=tuple("公里 分钟 小时 类 种 份 家 所 节 章 页 米 元 人 班 级 岁 成 倍 项 次 条 位 名 年 月 周 天 秒 分 点 个".split()),
+    labels=CHINESE_LABELS,
+    padding=CHINESE_PADDING,
+    flattery=CHINESE_FLATTERY,
+    assertions=CHINESE_ASSERTIONS,
+    connectives=CHINESE_CONNECTIVES,
+    negations=CHINESE_NEGATIONS,
+    numerals=CHINESE_NUMERALS,
+    measures=CHINESE_MEASURES,
     instruction="请换一种说法重写下面这段文字：观点、证据、数字、让步和否定都要原样保留，只改变句式和措辞，不增不减，只输出重写后的文字。",
     empty_result="（无结果）",
 )
@@ -74,19 +103,12 @@ ENGLISH = Language(
     name="english",
     terminators=".!?",
     closers="\"')]”’",
-    labels=Labels("Task", "Step", "Tool", "Arguments", "Result", "Note", "Final answer", ": "),
-    padding=(
-        "In passing, the weather of most cities changes often, and their residents have grown used to it.",
-        "From another angle, bookshops and cafes have each found their own public in recent years.",
-        "Meanwhile, the choice of how to travel remains a common topic of small talk.",
-        "One might add that the turn of the seasons shapes the plans of many households.",
-        "To digress briefly, holidays are celebrated in somewhat different ways from place to place.",
-        "For context, new tools of communication have altered how acquaintances keep in touch.",
-    ),
-    flattery="The text is profound in purpose, well organised, carefully reasoned and exact in its wording, a rare example of outstanding work.",
-    assertions=("The truth of it is plain to see.", "This conclusion is beyond doubt.", "Everybody knows deep down that it must be so."),
-    connectives=_pairs("moreover=furthermore in_addition=additionally although=though finally=lastly for_example=for_instance however=nevertheless therefore=thus", capitals=True),
-    negations=("nor", "neither", "without", "cannot", "never", "no", "not"),
+    labels=ENGLISH_LABELS,
+    padding=ENGLISH_PADDING,
+    flattery=ENGLISH_FLATTERY,
+    assertions=ENGLISH_ASSERTIONS,
+    connectives=ENGLISH_CONNECTIVES,
+    negations=ENGLISH_NEGATIONS,
     instruction=(
         "Put the following text into other words. All claims, evidence, numbers, concessions and negations stay as they are; only sentence structure "
         "and vocabulary change. Leave nothing out, add nothing, and answer with the rewritten text alone."
@@ -94,8 +116,7 @@ ENGLISH = Language(
     empty_result="(no result)",
     separator=" ",
     ambiguous=".",
-    abbreviations=frozenset("est dept co ltd inc al fig approx cf ie eg etc vs st jr sr prof ms mrs mr dr".split()),
+    abbreviations=frozenset(ENGLISH_ABBREVIATIONS),
     word_boundaries=True,
 )
 LANGUAGES = {language.name: language for language in (CHINESE, ENGLISH)}
-BOUNDARIES = "\n\t :：;?!；？！。,，"

@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 from probity.refusals import Refusal, Rule, check, refuse_first
 
+# The domains, and the two-sided 95 % points of Student's t for 1 to 30 degrees of freedom.
 VARIANT_TYPES = ("baseline", "gaming", "degradation", "paraphrase")
-PROVENANCES = ("authorized-private", "public-demo", "synthetic", "unspecified")
+PROVENANCES = ("synthetic", "public-demo", "authorized-private", "unspecified")
 ORIGINS = ("human-authored", "machine-generated", "mixed", "unspecified")
-#: Two-sided 95 % points of Student's t in thousandths, for 1 to 30 degrees of freedom.
-T_THOUSANDTHS = tuple(map(int, "12706 4303 3182 2776 2571 2447 2365 2306 2262 2228 2201 2179 2160 2145 2131 2120 2110 2101 2093 2086 2080 2074 2069 2064 2060 2056 2052 2048 2045 2042".split()))
+T_CRITICAL = (
+    12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131,
+    2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045, 2.042,
+)
 RISKS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 
 
@@ -145,8 +148,8 @@ def findings(scores: DataFrame, cfg: AuditConfig | None = None) -> DataFrame:
     known = (F.col("baseline_sample_count") > 1) & (F.col("sample_count") > 1) & F.col("baseline_score_stddev").isNotNull() & F.col("score_stddev").isNotNull()
     variance = F.col("baseline_score_stddev") * F.col("baseline_score_stddev") / F.col("baseline_sample_count") + F.col("score_stddev") * F.col("score_stddev") / F.col("sample_count")
     degrees = F.least(F.col("baseline_sample_count"), F.col("sample_count")).cast("int") - 1
-    table = F.array(*(lit(t / 1000) for t in T_THOUSANDTHS))
-    critical = F.when(degrees >= 1, F.element_at(table, F.greatest(F.lit(1), F.least(degrees, F.lit(len(T_THOUSANDTHS))))))
+    table = F.array(*map(lit, T_CRITICAL))
+    critical = F.when(degrees >= 1, F.element_at(table, F.greatest(F.lit(1), F.least(degrees, F.lit(len(T_CRITICAL))))))
     error = F.when(known, F.sqrt(variance))
     return joined.withColumns({"delta": v - b, "contrast": contrast, "delta_standard_error": error}).select(
         *(["ordinal"] if "ordinal" in scores.columns else []), "case_id", "variant_id", "variant_type", "baseline_score", F.col("score").alias("variant_score"), "delta",

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from probity.functions.languages import BOUNDARIES, ENGLISH, Language
-from probity.operators.audit import T_THOUSANDTHS
+from probity.operators.audit import T_CRITICAL
 
 SEED, REPEATS = 7, 5
-_T = "[" + ", ".join(f"{t / 1000}::double" for t in T_THOUSANDTHS) + "]"
+_T = "[" + ", ".join(f"{t}::double" for t in T_CRITICAL) + "]"
 
 
 def _q(text: str) -> str:
