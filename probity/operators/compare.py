@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,11 +78,22 @@ def status_counts(compared: DataFrame) -> DataFrame:
     return row.select(F.inline(F.array(*(F.struct(F.lit(s).alias("status"), F.col(s).alias("n")) for s in STATUSES))))
 
 
+def side_by_side(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """One row from several tables of one row each, whose columns differ: a union and an aggregation, no join."""
+    for other in others:
+        first = first.unionByName(other, allowMissingColumns=True)
+    return first.agg(*(F.max(c).alias(c) for c in first.columns))
+
+
+def _prefixed(df: DataFrame, prefix: str, columns: Sequence[str]) -> DataFrame:
+    return df.select(*(F.col(c).alias(prefix + c) for c in columns))
+
+
 def metrics(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     """(metric, reference, candidate, change) of two one-row summaries; null where either is."""
-    both = reference.select(F.struct(*METRICS).alias("r")).join(F.broadcast(candidate.select(F.struct(*METRICS).alias("c"))))  # one row each
-    entries = [F.struct(F.lit(m).alias("metric"), F.col(f"r.{m}").alias("reference"), F.col(f"c.{m}").alias("candidate"), (F.col(f"c.{m}") - F.col(f"r.{m}")).alias("change")) for m in METRICS]
-    return both.select(F.inline(F.array(*entries)))
+    both = side_by_side(_prefixed(reference, "reference_", METRICS), _prefixed(candidate, "candidate_", METRICS))
+    r, c = (lambda m: F.col(f"reference_{m}")), (lambda m: F.col(f"candidate_{m}"))
+    return both.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), r(m).alias("reference"), c(m).alias("candidate"), (c(m) - r(m)).alias("change")) for m in METRICS))))
 
 
 def risk_rank(level: Column) -> Column:
@@ -90,8 +103,8 @@ def risk_rank(level: Column) -> Column:
 def totals(reference: DataFrame, candidate: DataFrame, compared: DataFrame) -> DataFrame:
     """One row: risks, their ranks' change, rates, counts by status and the number of provisional changes."""
     counts = compared.agg(F.count("*").alias("variant_count"), *(F.count_if(F.col("status") == s).alias(f"{s}_count") for s in STATUSES), F.count_if("change_is_provisional").alias("provisional_change_count"))
-    side = [df.select(*(F.col(c).alias(f"{name}_{c}") for c in ("risk_level", "risk_is_provisional", "violation_rate", "uncertain_count"))) for name, df in (("reference", reference), ("candidate", candidate))]
-    joined = counts.join(F.broadcast(side[0])).join(F.broadcast(side[1]))  # one row each
+    shown = ("risk_level", "risk_is_provisional", "violation_rate", "uncertain_count")
+    joined = side_by_side(counts, _prefixed(reference, "reference_", shown), _prefixed(candidate, "candidate_", shown))
     return joined.withColumns({
         "risk_rank_change": (risk_rank(F.col("candidate_risk_level")) - risk_rank(F.col("reference_risk_level"))).cast("int"),
         "violation_rate_change": F.col("candidate_violation_rate") - F.col("reference_violation_rate"),
@@ -105,8 +118,9 @@ def self_consistency(found: DataFrame, declared: DataFrame) -> DataFrame:
         F.try_divide(F.count_if("violated").cast("double"), F.count("*").cast("double")).alias("violation_rate"),
     )
     names = actual.columns
-    both = actual.select(F.struct(*names).alias("a")).join(F.broadcast(declared.select(F.struct(*(F.col(n).cast("double").alias(n) for n in names)).alias("d"))))
-    rows = [F.struct(F.lit(n).alias("field"), F.col(f"d.{n}").alias("declared"), F.col(f"a.{n}").alias("actual"), same_number(F.col(f"d.{n}"), F.col(f"a.{n}")).alias("agrees")) for n in names]
+    both = side_by_side(_prefixed(actual, "actual_", names), declared.select(*(F.col(n).cast("double").alias(f"declared_{n}") for n in names)))
+    d, made = (lambda n: F.col(f"declared_{n}")), (lambda n: F.col(f"actual_{n}"))
+    rows = [F.struct(F.lit(n).alias("field"), d(n).alias("declared"), made(n).alias("actual"), same_number(d(n), made(n)).alias("agrees")) for n in names]
     return both.select(F.inline(F.array(*rows)))
 
 
