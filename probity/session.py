@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -24,3 +25,15 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written where every executor can read it, without its lineage: what it was read from may be replaced.
+
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (one machine) a temporary one is made.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="probity-"))
+    return df.checkpoint(eager=True)

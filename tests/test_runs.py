@@ -301,13 +301,16 @@ def test_drafting_and_scoring_over_http(spark, tmp_path, server):
     command(spark, "paraphrase", "--input", source, "--output", tmp_path / "review.csv", "--model", "writer", "--base-url", server)
     rows = list(csv.DictReader((tmp_path / "review.csv").open(encoding="utf-8")))
     assert [r["status"] for r in rows] == ["pending", "pending"] and rows[0]["baseline_sha256"] == stable_hash(BASELINES[0][1])
+    assert len(Handler.seen) == 2
     with pytest.raises(Refusal, match="exists already"):
         command(spark, "paraphrase", "--input", source, "--output", tmp_path / "review.csv", "--model", "writer", "--base-url", server)
     command(spark, "generate", "--input", source, "--output", tmp_path / "cases.csv")
     (tmp_path / "rubric.md").write_text("grade it")
     Handler.script = [reply('{"score": 5, "reason": "ok"}')]
     lines = command(spark, "score", "--input", tmp_path / "cases.csv", "--output", tmp_path / "s.csv", "--rubric-file", tmp_path / "rubric.md", "--model", "grader", "--base-url", server, "--system-name", "g", "--checkpoint", tmp_path / "log.jsonl")
-    assert "10 new samples" in lines[-1]
+    assert "10 new samples" in lines[-1] and len(Handler.seen) == 12
+    command(spark, "score", "--input", tmp_path / "cases.csv", "--output", tmp_path / "s.csv", "--rubric-file", tmp_path / "rubric.md", "--model", "grader", "--base-url", server, "--system-name", "g")
+    assert len(Handler.seen) == 22
     assert not any(w in json.dumps(Handler.seen[-1]) for w in ("gaming_", "degradation_"))
 
 
