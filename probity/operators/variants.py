@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from probity.functions import text as T
 from probity.functions.languages import CHINESE, Language
-from probity.refusals import Refusal, Rule, check, violations
+from probity.refusals import Refusal, Rule, check
 
 GAMING = ("verbose_padding", "rubric_flattery")
 DEGRADATION = ("remove_evidence", "unsupported_assertion")
@@ -185,10 +185,6 @@ def refuse_problems(rows: DataFrame) -> DataFrame:
     return check(rows, [Rule("postcondition", F.col("problem").isNotNull(), message)], "row_order")
 
 
-def problems(rows: DataFrame) -> DataFrame:
-    return violations(rows, [Rule("postcondition", F.col("problem").isNotNull(), F.col("problem"))], "row_order")
-
-
 def merge(generated: DataFrame, existing: DataFrame) -> DataFrame:
     """Existing rows win; each row is appended, preserved, edited or foreign. Order: as generated, then foreign rows as in their file."""
     keys = ["case_id", "variant_id"]

@@ -117,11 +117,6 @@ select case_id, 'gaming_{strategy}' as variant_id, 'gaming' as variant_type, pro
   'generated={strategy} | added_characters=' || (len(produced) - len(text)) || '; added_sentences={count}' as notes, null::varchar as problem from made"""
 
 
-def _contains(text: str) -> str:
-    """The problem of a degradation that still holds the annotated sentence, or lost a kept one."""
-    return f"case when contains({text}, sentences[2]) then true else false end"
-
-
 def _degradation(strategy: str, produced: str, removed: str) -> str:
     shorter = "when len(produced) >= len(text) then 'remove_evidence did not shorten the baseline.'" if strategy == "remove_evidence" else ""
     return f"""with {BASELINES}, {SPLIT}, j as (select *, array_to_string(kept, '') as joined from split), k as (select *, {_strip("joined")} as bare from j), made as (select *, {produced} as produced from k)

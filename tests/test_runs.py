@@ -240,6 +240,15 @@ def test_missing_files_and_columns(spark, tmp_path):
         csv_tables.read_scores(spark, table(tmp_path / "y.csv", SCORE, []))
 
 
+def test_a_folder_of_parts_is_read_back_without_loss(spark, tmp_path):
+    texts = ['with "quotes", commas', "two\nlines", "ünï 漢字", "back\\slash", "x"]
+    rows = [(f"c{n}", kind, kind, t if kind == "baseline" else f"{kind} {t}", "") for n, t in enumerate(texts) for kind in KINDS]
+    df = spark.createDataFrame(rows, "case_id string, variant_id string, variant_type string, text string, notes string")
+    csv_tables.write_table(df.repartition(3), str(tmp_path / "parts"))
+    found = csv_tables.read_cases(spark, str(tmp_path / "parts"))
+    assert sorted(tuple(r)[:5] for r in found.collect()) == sorted(rows)
+
+
 class Handler(BaseHTTPRequestHandler):
     script: list = []
     seen: list = []
