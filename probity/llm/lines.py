@@ -9,10 +9,14 @@ lines are dropped from all documents but the first (smallest id), so every text
 The paths are hashed and counted by partial aggregation, so one very common line is one row per task; the join that carries the
 counts back can be split by adaptive execution, because nothing above it needs a template's rows together.
 
+What the lines leave is searched for runs: ``RUN`` words in a row, anywhere within a line, that ``RUN_DOCS`` documents share are cut
+out of all documents but the first. From every ``RUN`` words the half-runs of least hash are counted (winnowing), so a shared run
+always has a shared half-run; only where one recurs are whole runs hashed, counted and cut. Runs do not go on from line to line.
+
 Defined cases: null texts count as empty and stay null; lines of fewer than ``MIN_TOKENS`` tokens are never dropped; a line
 repeated within one document only is kept; repeated rows count as documents of their own, but rows of the smallest id keep their
-lines; lines of rows with a null id are dropped where a recurring template has another document; a document may end up empty,
-and stays; other columns stay as they are, but for those named as the two counts; empty tables give empty results.
+lines; lines of rows with a null id are dropped where a recurring template has another document; the same holds for runs; a line
+that a run was cut from counts as dropped, and goes if no word is left; a document may end up empty, and stays; other columns stay as they are, but for those named as the two counts; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,10 +29,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from probity.llm.common import slices, table
+from probity.llm.common import checkpointed, slices, table
 
 MIN_DOCS, MIN_TOKENS, LEADING, BANDS, LEAST_BAND = 3, 3, 2, 3, 4
+RUN, HALF, RUN_DOCS = 50, 25, 2
+_B = 0x9E3779B97F4A7C15
 _VARIABLE = re.compile(rb"[0-9@]|://")
 _hash = xxhash.xxh64_intdigest
 
@@ -90,24 +97,117 @@ def recurring(keyed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return counted.where(F.col("n") >= min_docs).select("template", "first_doc")
 
 
-def drop_recurring_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "n_lines", dropped_col: str = "n_dropped") -> DataFrame:
+def _grams(of_words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` words of a line."""
+    base = np.full(len(of_words), _B, np.uint64)
+    base[0] = 1
+    powers = np.cumprod(base, dtype=np.uint64)
+    sums = np.r_[np.uint64(0), np.cumsum(of_words * powers, dtype=np.uint64)]
+    # a run is multiplied up to the last power, as if it stood at the line's end
+    h = (sums[n:] - sums[:-n]) * powers[len(of_words) - n :: -1]
+    # the length of the line is divided out, so that a run hashes alike wherever it stands
+    h *= np.uint64(pow(pow(_B, -1, 1 << 64), len(of_words) - n, 1 << 64))
+    h ^= h >> np.uint64(32)
+    return h * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _long_lines(text: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, word hashes) of the lines of at least ``RUN`` words."""
+    for number, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+        words = line.split()
+        if len(words) >= RUN:
+            yield number, np.array([_hash(w) for w in words], np.uint64)
+
+
+def _least(of_words: np.ndarray) -> np.ndarray:
+    """For each run of a line the least hash of its half-runs."""
+    return np.lib.stride_tricks.sliding_window_view(_grams(of_words, HALF), RUN - HALF + 1).min(1)
+
+
+def _runs(keyed: DataFrame, drops: DataFrame, min_docs: int) -> DataFrame:
+    """(doc_id, row_key, line, start): the runs to cut from the lines that are not among ``drops`` (doc_id, row_key, line)."""
+    schema = keyed.select("doc_id", "row_key").schema
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.uint64)
+        for part in slices(batches):
+            found = [np.unique(np.concatenate([none, *(_least(w) for _, w in _long_lines(t))])) for t in part.column("text").to_pylist()]
+            of = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(of), part.column("row_key").take(of), pa.array(np.concatenate([none, *found]).view(np.int64))], names=["doc_id", "row_key", "half"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        for part in slices(batches):
+            take, runs, lines, starts = [none], [none.view(np.uint64)], [none], [none]
+            for k, (text, hits, gone) in enumerate(zip(*(part.column(c).to_pylist() for c in ("text", "hits", "gone")))):
+                wanted = np.array(hits, np.int64).view(np.uint64)
+                for number, words in _long_lines(text):
+                    if number not in (gone or ()):
+                        at = np.flatnonzero(np.isin(_least(words), wanted))
+                        runs.append(_grams(words, RUN)[at])
+                        starts.append(at)
+                        take.append(np.full(len(at), k))
+                        lines.append(np.full(len(at), number))
+            of = pa.array(np.concatenate(take))
+            yield pa.RecordBatch.from_arrays([
+                part.column("doc_id").take(of), part.column("row_key").take(of), pa.array(np.concatenate(runs).view(np.int64)),
+                pa.array(np.concatenate(lines).astype(np.int32)), pa.array(np.concatenate(starts).astype(np.int32)),
+            ], names=["doc_id", "row_key", "run", "line", "start"])
+
+    half = keyed.mapInArrow(halves, StructType([*schema.fields]).add("half", "long"))
+    often = half.groupBy("half").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("half")
+    hits = half.join(often, "half").groupBy(F.col("doc_id").alias("i"), F.col("row_key").alias("k")).agg(F.collect_set("half").alias("hits"))
+    gone = drops.groupBy(F.col("doc_id").alias("j"), F.col("row_key").alias("l")).agg(F.collect_set("line").alias("gone"))
+    held = hits.join(gone, (F.col("k") == F.col("l")) & F.col("i").eqNullSafe(F.col("j")), "left").select("i", "k", "hits", "gone")
+    texts = keyed.join(held, (F.col("row_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("i")))
+    runs = checkpointed(texts.select("doc_id", "row_key", "text", "hits", "gone").mapInArrow(whole, StructType([*schema.fields]).add("run", "long").add("line", "integer").add("start", "integer")))
+    once = runs.select("run", "row_key", "doc_id").distinct()
+    shared = once.groupBy("run").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where(F.col("n") >= min_docs).select("run", "first_doc")
+    return runs.join(shared, "run").where("first_doc is not null and not (doc_id <=> first_doc)").select("doc_id", "row_key", "line", "start")
+
+
+def cut_runs(text: str, cuts: list[tuple[int, int]]) -> tuple[str, int]:
+    """The text without the runs of ``RUN`` words that begin at (line, word), or the whole line where word is -1, and the number of these lines."""
+    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    of_line: dict[int, list[int]] = {}
+    for line, start in cuts:
+        of_line.setdefault(line, []).append(start)
+    for number, starts in of_line.items():
+        if min(starts) < 0:
+            lines[number] = None
+            continue
+        line, spans = lines[number], [m.span() for m in re.finditer(rb"\S+", lines[number])]
+        kept, end, reach = [], 0, -1
+        for start in sorted(starts):
+            if start > reach:
+                kept.append(line[end : spans[start][0]])
+            reach = max(reach, start + RUN)
+            end = spans[reach][0] if reach < len(spans) else len(line)
+        out = b"".join([*kept, line[end:]])
+        lines[number] = out if out.split() else None
+    return b"\n".join(x for x in lines if x is not None).decode("utf-8", "surrogatepass"), len(of_line)
+
+
+def drop_recurring_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS, run_docs: int = RUN_DOCS, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "n_lines", dropped_col: str = "n_dropped") -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text_col``, and two counts, which replace columns of the same name."""
     keyed = _keyed(docs, id_col, text_col)
     paths = _paths(keyed, places=True)
     marked = paths.join(recurring(keyed, min_docs), "template").where("first_doc is not null and not (doc_id <=> first_doc)")
-    drops = marked.groupBy(F.col("doc_id").alias("__drop_id"), F.col("row_key").alias("__drop_key")).agg(F.collect_set("line").alias("__drops"))
+    whole = checkpointed(marked.select("doc_id", "row_key", "line").distinct())
+    both = whole.withColumn("start", F.lit(-1)).union(_runs(keyed, whole, run_docs))
+    drops = both.groupBy(F.col("doc_id").alias("__drop_id"), F.col("row_key").alias("__drop_key")).agg(F.collect_set(F.struct("line", "start")).alias("__drops"))
     text = F.col(text_col)
-    split = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__drops"))
-    clean = F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n")
+    cut = F.udf(lambda t, c: cut_runs(t, c) if c else None, "struct<text: string, n: int>")
     keyed_docs = docs.drop(lines_col, dropped_col).withColumn("__row_key", F.xxhash64(F.col(id_col), F.coalesce(text, F.lit(""))))
     # the id belongs to the key: hashes alone would meet by chance in a very large table
     joined = keyed_docs.join(drops, (F.col("__row_key") == F.col("__drop_key")) & F.col(id_col).eqNullSafe(F.col("__drop_id")), "left")
-    counted = joined.withColumns({
-        lines_col: F.when(text.isNull(), 0).otherwise(F.size(split)),
-        dropped_col: F.coalesce(F.array_size("__drops"), F.lit(0)),
+    done = joined.withColumn("__cut", cut(F.when(F.col("__drops").isNotNull(), text), "__drops"))
+    counted = done.withColumns({
+        lines_col: F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))),
+        dropped_col: F.coalesce("__cut.n", F.lit(0)),
+        text_col: F.when(F.col("__drops").isNull(), text).otherwise(F.col("__cut.text")),
     })
-    return counted.withColumn(text_col, F.when(F.col("__drops").isNull(), text).otherwise(clean)).drop("__drops", "__row_key", "__drop_id", "__drop_key")
+    return counted.drop("__cut", "__drops", "__row_key", "__drop_id", "__drop_key")
 
 
 def op8_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,3 +50,19 @@ def test_other_columns_and_empty_table(docs, no_docs):
     out = lines.drop_recurring_lines(docs)
     assert set(docs.columns) | {"n_lines", "n_dropped"} == set(out.columns)
     assert lines.drop_recurring_lines(no_docs).count() == 0
+
+
+def _words(tag, n):
+    return " ".join(f"{tag}{i}" for i in range(n))
+
+
+def test_a_run_of_fifty_words_is_found_wherever_it_stands(spark):
+    run, other = _words("run", 60), _words("other", 49)
+    half = run.split()
+    texts = [
+        f"{_words('a', 20)} {run} end", f"begin {run}", f"{_words('c', 7)} {' '.join(half[:50])} and {_words('d', 40)}\nlast line",
+        f"{other} {_words('e', 30)}", f"{_words('f', 3)} {other}", run.upper(),
+    ]
+    found = {r["doc_id"]: r for r in lines.drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {i: r["text"] for i, r in found.items()} == {0: texts[0], 1: "begin ", 2: f"{_words('c', 7)} and {_words('d', 40)}\nlast line", 3: texts[3], 4: texts[4], 5: texts[5]}
+    assert {i: r["n_dropped"] for i, r in found.items()} == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
