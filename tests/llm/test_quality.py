@@ -51,3 +51,8 @@ def test_held_out_accuracy(spark):
     found = {r["doc_id"]: r for r in quality.op1_quality_pairwise(spark, sf).collect()}
     labels = [r for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if found[r["doc_id"]]["held_out"]]
     assert np.mean([found[r["doc_id"]]["predicted"] == r["quality"] for r in labels]) >= 0.95
+
+
+def test_top_word_counts_every_word():
+    text = " ".join(f"w{i} fill fill fill fill fill fill fill fill fill" for i in range(40))
+    assert quality.features(text)[quality.FEATURES.index("top_word")] == 0.9
