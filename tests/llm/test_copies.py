@@ -40,3 +40,10 @@ def test_groups_without_ids_and_with_repeated_ids_keep_one_row(spark):
     a, b, c = _texts()
     docs = spark.createDataFrame([(None, a), (None, a), (None, b), (7, c), (7, c), (7, c)], "doc_id long, text string")
     assert sorted(r["text"] for r in copies.keep_one_of_each(docs).collect()) in (sorted([a, c]), sorted([b, c]))
+
+
+def test_contaminated_rows_go_by_row_and_not_by_id(spark, sf):
+    item = next(r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len(r["text"].split()) >= 10)
+    docs = spark.createDataFrame([(None, item), (None, "clean without an id"), (4, item), (4, "clean with the same id"), (5, None)], "doc_id long, text string")
+    kept = corpus_pipeline.drop_contaminated(spark, docs, sf).collect()
+    assert sorted(str(r["text"]) for r in kept) == ["None", "clean with the same id", "clean without an id"]
