@@ -13,7 +13,8 @@ What the lines leave is searched for runs: ``RUN`` words in a row, anywhere with
 out of all documents but the first. From every ``RUN`` words the half-runs of least hash are counted (winnowing), so a shared run
 always has a shared half-run; only where one recurs are whole runs hashed, counted and cut. Runs do not go on from line to line.
 
-Defined cases: null texts count as empty and stay null; lines of fewer than ``MIN_TOKENS`` tokens are never dropped; a line
+Defined cases: null texts count as empty and stay null; lines of fewer than ``MIN_TOKENS`` tokens are never dropped if
+they have fewer than ``LEAST_BYTES`` bytes without spaces; a line
 repeated within one document only is kept; repeated rows count as documents of their own, but rows of the smallest id keep their
 lines; lines of rows with a null id are dropped where a recurring template has another document; the same holds for runs; a line
 that a run was cut from counts as dropped, and goes if no word is left; a document may end up empty, and stays; other columns stay as they are, but for those named as the two counts; empty tables give empty results.
@@ -34,6 +35,8 @@ from pyspark.sql.types import StructType
 from probity.llm.common import checkpointed, slices, table
 
 MIN_DOCS, MIN_TOKENS, LEADING, BANDS, LEAST_BAND = 3, 3, 2, 3, 4
+#: Bytes from which a line of fewer than ``MIN_TOKENS`` tokens has a template: text written without spaces is one token a line.
+LEAST_BYTES = 24
 RUN, HALF, RUN_DOCS = 50, 25, 2
 _B = 0x9E3779B97F4A7C15
 _VARIABLE = re.compile(rb"[0-9@]|://")
@@ -45,7 +48,7 @@ def templates(line: bytes) -> list[int]:
     tokens = line.split()
     n = len(tokens)
     if n < MIN_TOKENS:
-        return []
+        return [_hash(b" ".join(tokens), n)] if sum(map(len, tokens)) >= LEAST_BYTES else []
     if _VARIABLE.search(line):
         masked = [b"\0" if _VARIABLE.search(t) else t for t in tokens]
         if masked.count(b"\0") * 2 <= n:

@@ -66,3 +66,9 @@ def test_a_run_of_fifty_words_is_found_wherever_it_stands(spark):
     found = {r["doc_id"]: r for r in lines.drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert {i: r["text"] for i, r in found.items()} == {0: texts[0], 1: "begin ", 2: f"{_words('c', 7)} and {_words('d', 40)}\nlast line", 3: texts[3], 4: texts[4], 5: texts[5]}
     assert {i: r["n_dropped"] for i, r in found.items()} == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
+
+
+def test_long_lines_without_spaces_are_deduplicated(spark):
+    line = "本文の一行は空白なしで書かれている"
+    rows = spark.createDataFrame([(i, f"{line}\nown {'abc'[i]}") for i in range(3)], "doc_id long, text string")
+    assert [r["n_dropped"] for r in lines.drop_recurring_lines(rows).orderBy("doc_id").collect()] == [0, 1, 1]
