@@ -4,20 +4,26 @@ A line's path in the tree is its number of tokens, its leading tokens, and which
 variable field; the leaf is the template: the tokens outside that piece. Tokens with digits, addresses and urls are variable
 anywhere, unless they are over half of the line. Lines too short to spare a piece have one template, all their tokens. So lines
 with the same template differ in one stretch of tokens at most. A template that ``MIN_DOCS`` documents share is recurring; its
-lines are dropped from all documents but the first (smallest id), so every text stays in one place.
+lines are dropped from all documents but the first (smallest id), so every text stays in one place. A line of ``RUN`` words and
+more also has a template of its exact tokens, which recurs from ``RUN_DOCS`` documents on.
 
 The paths are hashed and counted by partial aggregation, so one very common line is one row per task; the join that carries the
 counts back can be split by adaptive execution, because nothing above it needs a template's rows together.
 
 What the lines leave is searched for runs: ``RUN`` words in a row, anywhere within a line, that ``RUN_DOCS`` documents share are cut
-out of all documents but the first. From every ``RUN`` words the half-runs of least hash are counted (winnowing), so a shared run
-always has a shared half-run; only where one recurs are whole runs hashed, counted and cut. Runs do not go on from line to line.
+out of all documents but the first. From every ``RUN`` words the half-runs of least hash are taken (winnowing), so a shared run
+always has a shared half-run. One that different lines share is a hit; only around hits, in lines that are still there, are whole
+runs hashed, counted and cut. Equal lines are a matter of templates, so copies of a document put no run into a shuffle. Runs do not
+go on from line to line.
+
+Tokens, templates, half-runs and runs are hashed by prefix sums over whole slices of a batch (polynomials modulo 2**64).
 
 Defined cases: null texts count as empty and stay null; lines of fewer than ``MIN_TOKENS`` tokens are never dropped if
 they have fewer than ``LEAST_BYTES`` bytes without spaces; a line
 repeated within one document only is kept; repeated rows count as documents of their own, but rows of the smallest id keep their
 lines; lines of rows with a null id are dropped where a recurring template has another document; the same holds for runs; a line
-that a run was cut from counts as dropped, and goes if no word is left; a document may end up empty, and stays; other columns stay as they are, but for those named as the two counts; empty tables give empty results.
+that a run was cut from counts as dropped, and goes if no word is left; a document may end up empty, and stays; other columns stay
+as they are, but for those named as the two counts; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,36 +33,163 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from probity.llm.common import checkpointed, slices, table
+from probity.llm.common import byte_slices, bytes_of, checkpointed, table
 
 MIN_DOCS, MIN_TOKENS, LEADING, BANDS, LEAST_BAND = 3, 3, 2, 3, 4
 #: Bytes from which a line of fewer than ``MIN_TOKENS`` tokens has a template: text written without spaces is one token a line.
 LEAST_BYTES = 24
 RUN, HALF, RUN_DOCS = 50, 25, 2
-_B = 0x9E3779B97F4A7C15
-_VARIABLE = re.compile(rb"[0-9@]|://")
-_hash = xxhash.xxh64_intdigest
+#: Hit lines (in all documents) up to which they are broadcast to the texts, about 50 MB; beyond, the texts are shuffled to them.
+BROADCAST_HITS = 500_000
+_CHUNK = 1 << 20
+_DRAWN = np.random.default_rng(17).integers(0, 1 << 64, 259, np.uint64) | np.uint64(1)
+_LETTERS, _VARIABLE, _P, _Q = _DRAWN[:256], _DRAWN[256], _DRAWN[257], _DRAWN[258]
+_SPACE, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
+_MARK[list(b"0123456789@")] = True
+
+
+class _Powers:
+    """Powers of an odd number modulo 2**64 and of its inverse, as many as were asked for so far."""
+
+    def __init__(self, base: np.uint64):
+        self.bases = (int(base), pow(int(base), -1, 1 << 64))
+        self.held = [np.ones(1, np.uint64)] * 2
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.held[0]) < n:
+            size = 1 << (n - 1).bit_length()
+            for k, base in enumerate(self.bases):
+                steps = np.full(size, base, np.uint64)
+                steps[0] = 1
+                self.held[k] = np.cumprod(steps, dtype=np.uint64)
+        return self.held[0][:n], self.held[1][:n]
+
+
+_of_bytes, _of_tokens = _Powers(_P), _Powers(_Q)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+class _Sums:
+    """Hashes of stretches of a sequence of token hashes."""
+
+    def __init__(self, tokens: np.ndarray):
+        powers, self.inverse = _of_tokens(len(tokens) + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * powers[: len(tokens)], dtype=np.uint64)])
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (self.sums[b] - self.sums[a]) * self.inverse[a]
+
+    def all_of(self, n: int) -> np.ndarray:
+        """Of every stretch of ``n`` tokens."""
+        return _mixed((self.sums[n:] - self.sums[:-n]) * self.inverse[: len(self.sums) - n])
+
+
+class Parsed:
+    """The lines of a slice of texts that hold tokens: of which text, which line of it, from which token on, how many."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        space = _SPACE[data]
+        begins, ends = ~space, ~space
+        begins[1:] &= space[:-1]
+        ends[:-1] &= space[1:]
+        edge = np.unique(offsets[(offsets > 0) & (offsets < len(data))])  # a text's first byte begins a token, and its last ends one
+        begins[edge] = ~space[edge]
+        ends[edge - 1] = ~space[edge - 1]
+        self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        del space, begins, ends
+        self.tokens = self._hashes(data)
+        breaks = np.flatnonzero(data == 10)
+        of_text = np.searchsorted(offsets, self.starts, "right") - 1
+        self.line_of = np.searchsorted(breaks, self.starts) + of_text  # counted through all texts
+        self.first = np.flatnonzero(np.diff(self.line_of, prepend=-1))
+        self.n = np.diff(np.append(self.first, len(self.starts)))
+        self.text = of_text[self.first]
+        self.number = self.line_of[self.first] - np.searchsorted(breaks, offsets[self.text]) - self.text
+        self.variable = np.zeros(len(self.starts), bool)
+        marks = np.flatnonzero(_MARK[data])
+        self.variable[np.searchsorted(self.starts, marks, "right") - 1] = True
+        scheme = np.flatnonzero((data[:-2] == 58) & (data[1:-1] == 47) & (data[2:] == 47)) if len(data) > 2 else marks[:0]
+        at = np.searchsorted(self.starts, scheme, "right") - 1
+        self.variable[at[scheme + 2 < self.ends[at]]] = True
+
+    def _hashes(self, data: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.starts), np.uint64)
+        at = 0
+        while at < len(out):
+            low = self.starts[at]
+            to = max(at + 1, int(np.searchsorted(self.ends, low + _CHUNK, "right")))
+            high = self.ends[to - 1]
+            powers, inverse = _of_bytes(int(high - low) + 1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[data[low:high]] * powers[: high - low], dtype=np.uint64)])
+            s, e = self.starts[at:to] - low, self.ends[at:to] - low
+            out[at:to] = _mixed((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
+            at = to
+        return out
+
+    def templates(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, template): the last bit of a template says that it is the exact one of a long line."""
+        n, first, line = self.n, self.first, np.arange(len(self.n))
+        last = first + n
+        if not len(n):
+            return line, np.zeros(0, np.uint64)
+        exact = _Sums(self.tokens)
+        variable = np.add.reduceat(self.variable.astype(np.int64), first)
+        masked = (n >= MIN_TOKENS) & (variable > 0) & (2 * variable <= n)
+        sums = exact
+        if masked.any():
+            sums = _Sums(np.where(self.variable & np.repeat(masked, n), _VARIABLE, self.tokens))
+        size = np.add.reduceat(self.ends - self.starts, first)
+        short = n < LEADING + BANDS * LEAST_BAND
+        whole = short & ((n >= MIN_TOKENS) | (size >= LEAST_BYTES))
+        a, b, m = first[whole], last[whole], n[whole].astype(np.uint64)
+        lines, found = [line[whole]], [_mixed(sums.between(a, b) + m) & ~np.uint64(1)]
+        a, b, m = first[~short], last[~short], n[~short]
+        cuts = [a + LEADING + (m - LEADING) * k // BANDS for k in range(BANDS + 1)]
+        for k in range(BANDS):
+            head = _mixed(sums.between(a, cuts[k]) + (m * BANDS + k).astype(np.uint64))
+            lines.append(line[~short])
+            found.append(_mixed(head * _P + sums.between(cuts[k + 1], b)) & ~np.uint64(1))
+        long = n >= RUN
+        lines.append(line[long])
+        found.append(self.exact(exact)[long] | np.uint64(1))
+        return np.concatenate(lines), np.concatenate(found)
+
+    def exact(self, sums: _Sums | None = None) -> np.ndarray:
+        """The hash of each line's tokens."""
+        sums = sums or _Sums(self.tokens)
+        return _mixed(sums.between(self.first, self.first + self.n) + self.n.astype(np.uint64))
+
+    def least(self, sums: _Sums) -> tuple[np.ndarray, np.ndarray]:
+        """(place, least hash of a half-run) of each run of ``RUN`` tokens within a line."""
+        if len(self.tokens) < RUN:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        low, width = sums.all_of(HALF), 1
+        while 2 * width <= RUN - HALF + 1:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        rest = RUN - HALF + 1 - width
+        low = np.minimum(low[: len(low) - rest], low[rest:])
+        at = np.flatnonzero(self.line_of[: len(low)] == self.line_of[RUN - 1 :])
+        return at, low[at]
 
 
 def templates(line: bytes) -> list[int]:
     """Hashes of the templates of a line; none if it is too short."""
-    tokens = line.split()
-    n = len(tokens)
-    if n < MIN_TOKENS:
-        return [_hash(b" ".join(tokens), n)] if sum(map(len, tokens)) >= LEAST_BYTES else []
-    if _VARIABLE.search(line):
-        masked = [b"\0" if _VARIABLE.search(t) else t for t in tokens]
-        if masked.count(b"\0") * 2 <= n:
-            tokens = masked
-    if n < LEADING + BANDS * LEAST_BAND:
-        return [_hash(b" ".join(tokens), n)]
-    cuts = [LEADING + (n - LEADING) * k // BANDS for k in range(BANDS + 1)]
-    return [_hash(b" ".join(tokens[: cuts[k]]) + b"\1" + b" ".join(tokens[cuts[k + 1] :]), n * BANDS + k) for k in range(BANDS)]
+    return Parsed(np.frombuffer(line, np.uint8), np.array([0, len(line)])).templates()[1].tolist()
+
+
+def _signed(h: np.ndarray) -> pa.Array:
+    return pa.array(h.view(np.int64))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -72,100 +205,86 @@ def _paths(keyed: DataFrame, places: bool) -> DataFrame:
     names = list(schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            rows, keys, lines = [], [], []
-            for k, text in enumerate(part.column("text").to_pylist()):
-                found: list[int] = []
-                at: list[int] = []
-                for number, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-                    t = templates(line)
-                    found += t
-                    at += [number] * len(t)
-                if not places:
-                    found = list(set(found))
-                rows += [k] * len(found)
-                keys += found
-                lines += at
-            take = pa.array(rows, pa.int64())
-            columns = [part.column("doc_id").take(take)] + ([part.column("row_key").take(take)] if places else [])
-            columns.append(pa.array(np.array(keys, np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(lines, pa.int32())] if places else []), names=names)
+        for part in byte_slices(batches, "text"):
+            parsed = Parsed(*bytes_of(part.column("text")))
+            line, found = parsed.templates()
+            text = parsed.text[line]
+            if not places:
+                order = np.lexsort((found, text))
+                text, found = text[order], found[order]
+                new = np.r_[True, (text[1:] != text[:-1]) | (found[1:] != found[:-1])] if len(text) else np.zeros(0, bool)
+                text, found = text[new], found[new]
+            columns = [part.column(c).take(pa.array(text)) for c in ("doc_id", "row_key")[: 1 + places]]
+            yield pa.RecordBatch.from_arrays([*columns, _signed(found), *([pa.array(parsed.number[line].astype(np.int32))] if places else [])], names=names)
 
     return keyed.mapInArrow(run, schema)
 
 
-def recurring(keyed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(template, first_doc) of the templates that at least ``min_docs`` documents share."""
+def recurring(keyed: DataFrame, min_docs: int = MIN_DOCS, run_docs: int = RUN_DOCS) -> DataFrame:
+    """(template, first_doc) of the templates that at least ``min_docs`` documents share, or ``run_docs`` if it is a long line's own."""
     counted = _paths(keyed, places=False).groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
-    return counted.where(F.col("n") >= min_docs).select("template", "first_doc")
-
+    return counted.where(F.col("n") >= F.when(F.col("template") % 2 == 0, min_docs).otherwise(run_docs)).select("template", "first_doc")
 
-def _grams(of_words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of ``n`` words of a line."""
-    base = np.full(len(of_words), _B, np.uint64)
-    base[0] = 1
-    powers = np.cumprod(base, dtype=np.uint64)
-    sums = np.r_[np.uint64(0), np.cumsum(of_words * powers, dtype=np.uint64)]
-    # a run is multiplied up to the last power, as if it stood at the line's end
-    h = (sums[n:] - sums[:-n]) * powers[len(of_words) - n :: -1]
-    # the length of the line is divided out, so that a run hashes alike wherever it stands
-    h *= np.uint64(pow(pow(_B, -1, 1 << 64), len(of_words) - n, 1 << 64))
-    h ^= h >> np.uint64(32)
-    return h * np.uint64(0xD6E8FEB86659FD93)
 
+def _half_runs(keyed: DataFrame, places: bool) -> DataFrame:
+    """The least half-runs of each long line: (half, hash), or with ``places`` (doc_id, row_key, half, line)."""
+    schema = keyed.select("doc_id", "row_key").schema.add("half", "long").add("line", "integer") if places else "half long, hash long"
 
-def _long_lines(text: str) -> Iterator[tuple[int, np.ndarray]]:
-    """(number, word hashes) of the lines of at least ``RUN`` words."""
-    for number, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-        words = line.split()
-        if len(words) >= RUN:
-            yield number, np.array([_hash(w) for w in words], np.uint64)
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in byte_slices(batches, "text"):
+            parsed = Parsed(*bytes_of(part.column("text")))
+            sums = _Sums(parsed.tokens)
+            at, low = parsed.least(sums)
+            line = np.searchsorted(parsed.first, at, "right") - 1
+            new = np.r_[True, (low[1:] != low[:-1]) | (line[1:] != line[:-1])] if len(low) else np.zeros(0, bool)
+            line, low = line[new], low[new]
+            if places:
+                text = pa.array(parsed.text[line])
+                columns = [part.column("doc_id").take(text), part.column("row_key").take(text), _signed(low), pa.array(parsed.number[line].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "half", "line"])
+            else:
+                yield pa.record_batch({"half": _signed(low), "hash": _signed(parsed.exact(sums)[line])})
 
-def _least(of_words: np.ndarray) -> np.ndarray:
-    """For each run of a line the least hash of its half-runs."""
-    return np.lib.stride_tricks.sliding_window_view(_grams(of_words, HALF), RUN - HALF + 1).min(1)
+    return keyed.mapInArrow(run, schema)
 
 
-def _runs(keyed: DataFrame, drops: DataFrame, min_docs: int) -> DataFrame:
+def _runs(keyed: DataFrame, drops: DataFrame, run_docs: int) -> DataFrame:
     """(doc_id, row_key, line, start): the runs to cut from the lines that are not among ``drops`` (doc_id, row_key, line)."""
     schema = keyed.select("doc_id", "row_key").schema
 
-    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.uint64)
-        for part in slices(batches):
-            found = [np.unique(np.concatenate([none, *(_least(w) for _, w in _long_lines(t))])) for t in part.column("text").to_pylist()]
-            of = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(of), part.column("row_key").take(of), pa.array(np.concatenate([none, *found]).view(np.int64))], names=["doc_id", "row_key", "half"])
-
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64)
-        for part in slices(batches):
-            take, runs, lines, starts = [none], [none.view(np.uint64)], [none], [none]
-            for k, (text, hits, gone) in enumerate(zip(*(part.column(c).to_pylist() for c in ("text", "hits", "gone")))):
-                wanted = np.array(hits, np.int64).view(np.uint64)
-                for number, words in _long_lines(text):
-                    if number not in (gone or ()):
-                        at = np.flatnonzero(np.isin(_least(words), wanted))
-                        runs.append(_grams(words, RUN)[at])
-                        starts.append(at)
-                        take.append(np.full(len(at), k))
-                        lines.append(np.full(len(at), number))
-            of = pa.array(np.concatenate(take))
-            yield pa.RecordBatch.from_arrays([
-                part.column("doc_id").take(of), part.column("row_key").take(of), pa.array(np.concatenate(runs).view(np.int64)),
-                pa.array(np.concatenate(lines).astype(np.int32)), pa.array(np.concatenate(starts).astype(np.int32)),
-            ], names=["doc_id", "row_key", "run", "line", "start"])
-
-    half = keyed.mapInArrow(halves, StructType([*schema.fields]).add("half", "long"))
-    often = half.groupBy("half").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("half")
-    hits = half.join(often, "half").groupBy(F.col("doc_id").alias("i"), F.col("row_key").alias("k")).agg(F.collect_set("half").alias("hits"))
-    gone = drops.groupBy(F.col("doc_id").alias("j"), F.col("row_key").alias("l")).agg(F.collect_set("line").alias("gone"))
-    held = hits.join(gone, (F.col("k") == F.col("l")) & F.col("i").eqNullSafe(F.col("j")), "left").select("i", "k", "hits", "gone")
+        for part in byte_slices(batches, "text"):
+            parsed = Parsed(*bytes_of(part.column("text")))
+            sums = _Sums(parsed.tokens)
+            at, low = parsed.least(sums)
+            line = np.searchsorted(parsed.first, at, "right") - 1
+            text, number = parsed.text[line], parsed.number[line]
+            hits = part.column("hits")
+            of = np.repeat(np.arange(part.num_rows), hits.value_lengths().to_numpy(zero_copy_only=False))
+            flat = hits.flatten()
+            wanted = flat.field("half").to_numpy().view(np.uint64)
+            there = set(zip(of.tolist(), flat.field("line").to_pylist(), wanted.tolist()))
+            known = np.isin(low, wanted)
+            at, line, text, number, low = at[known], line[known], text[known], number[known], low[known]
+            good = np.array([t in there for t in zip(text.tolist(), number.tolist(), low.tolist())], bool)
+            at, line, text, number = at[good], line[good], text[good], number[good]
+            take = pa.array(text)
+            run = sums.all_of(RUN)[at] if len(at) else np.zeros(0, np.uint64)
+            columns = [part.column("doc_id").take(take), part.column("row_key").take(take), _signed(run), pa.array(number.astype(np.int32)), pa.array((at - parsed.first[line]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "run", "line", "start"])
+
+    often = _half_runs(keyed, False).groupBy("half").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low <> high").select("half")
+    gone = drops.select(F.col("doc_id").alias("__i"), F.col("row_key").alias("__k"), F.col("line").alias("__l"))
+    met = _half_runs(keyed, True).join(often, "half")
+    left = met.join(gone, (F.col("row_key") == F.col("__k")) & (F.col("line") == F.col("__l")) & F.col("doc_id").eqNullSafe(F.col("__i")), "left_anti")
+    held = checkpointed(left.groupBy(F.col("doc_id").alias("i"), F.col("row_key").alias("k")).agg(F.collect_set(F.struct("line", "half")).alias("hits")))
+    total = held.agg(F.sum(F.size("hits"))).first()[0] or 0
+    held = F.broadcast(held) if total <= BROADCAST_HITS else held
     texts = keyed.join(held, (F.col("row_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("i")))
-    runs = checkpointed(texts.select("doc_id", "row_key", "text", "hits", "gone").mapInArrow(whole, StructType([*schema.fields]).add("run", "long").add("line", "integer").add("start", "integer")))
+    found = texts.select("doc_id", "row_key", "text", "hits").mapInArrow(whole, StructType([*schema.fields]).add("run", "long").add("line", "integer").add("start", "integer"))
+    runs = checkpointed(found)
     once = runs.select("run", "row_key", "doc_id").distinct()
-    shared = once.groupBy("run").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where(F.col("n") >= min_docs).select("run", "first_doc")
+    shared = once.groupBy("run").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where(F.col("n") >= run_docs).select("run", "first_doc")
     return runs.join(shared, "run").where("first_doc is not null and not (doc_id <=> first_doc)").select("doc_id", "row_key", "line", "start")
 
 
@@ -195,22 +314,29 @@ def drop_recurring_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS, run_docs:
     """``docs`` with the recurring lines taken out of ``text_col``, and two counts, which replace columns of the same name."""
     keyed = _keyed(docs, id_col, text_col)
     paths = _paths(keyed, places=True)
-    marked = paths.join(recurring(keyed, min_docs), "template").where("first_doc is not null and not (doc_id <=> first_doc)")
+    marked = paths.join(recurring(keyed, min_docs, run_docs), "template").where("first_doc is not null and not (doc_id <=> first_doc)")
     whole = checkpointed(marked.select("doc_id", "row_key", "line").distinct())
     both = whole.withColumn("start", F.lit(-1)).union(_runs(keyed, whole, run_docs))
     drops = both.groupBy(F.col("doc_id").alias("__drop_id"), F.col("row_key").alias("__drop_key")).agg(F.collect_set(F.struct("line", "start")).alias("__drops"))
-    text = F.col(text_col)
-    cut = F.udf(lambda t, c: cut_runs(t, c) if c else None, "struct<text: string, n: int>")
-    keyed_docs = docs.drop(lines_col, dropped_col).withColumn("__row_key", F.xxhash64(F.col(id_col), F.coalesce(text, F.lit(""))))
+    source = docs.drop(lines_col, dropped_col)
+    keyed_docs = source.withColumn("__row_key", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
     # the id belongs to the key: hashes alone would meet by chance in a very large table
     joined = keyed_docs.join(drops, (F.col("__row_key") == F.col("__drop_key")) & F.col(id_col).eqNullSafe(F.col("__drop_id")), "left")
-    done = joined.withColumn("__cut", cut(F.when(F.col("__drops").isNotNull(), text), "__drops"))
-    counted = done.withColumns({
-        lines_col: F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))),
-        dropped_col: F.coalesce("__cut.n", F.lit(0)),
-        text_col: F.when(F.col("__drops").isNull(), text).otherwise(F.col("__cut.text")),
-    })
-    return counted.drop("__cut", "__drops", "__row_key", "__drop_id", "__drop_key")
+    names, where = source.columns, source.columns.index(text_col)
+    schema = StructType([*source.schema.fields]).add(lines_col, "integer").add(dropped_col, "integer")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in byte_slices(batches, text_col):
+            texts, counts, gone = [], [], []
+            for text, drops in zip(part.column(where).to_pylist(), part.column(len(names)).to_pylist()):
+                counts.append(0 if text is None else text.count("\n") + 1)
+                text, n = cut_runs(text, [(d["line"], d["start"]) for d in drops]) if drops else (text, 0)
+                texts.append(text)
+                gone.append(n)
+            columns = [pa.array(texts, pa.string()) if k == where else part.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32()), pa.array(gone, pa.int32())], names=[*names, lines_col, dropped_col])
+
+    return joined.select(*names, "__drops").mapInArrow(cut, schema)
 
 
 def op8_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

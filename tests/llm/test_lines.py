@@ -1,4 +1,5 @@
-from collections import Counter
+import random
+from collections import Counter, defaultdict
 
 from probity.llm import lines
 
@@ -72,3 +73,71 @@ def test_long_lines_without_spaces_are_deduplicated(spark):
     line = "本文の一行は空白なしで書かれている"
     rows = spark.createDataFrame([(i, f"{line}\nown {'abc'[i]}") for i in range(3)], "doc_id long, text string")
     assert [r["n_dropped"] for r in lines.drop_recurring_lines(rows).orderBy("doc_id").collect()] == [0, 1, 1]
+
+
+def brute_all(rows, least=lines.MIN_DOCS):
+    """Every line and every run of fifty words, counted in plain Python: {doc_id: text}; ids must be distinct."""
+    parts = {i: (t or "").split("\n") for i, t in rows}
+    holders = defaultdict(set)
+    for i, own in parts.items():
+        for line in own:
+            for t in lines.templates(line.encode()):
+                holders[t].add(i)
+    gone = {(i, k) for i, own in parts.items() for k, line in enumerate(own) for t in lines.templates(line.encode()) if len(holders[t]) >= (lines.RUN_DOCS if t % 2 else least) and min(holders[t]) != i}
+    runs = defaultdict(set)
+    words = {(i, k): line.split() for i, own in parts.items() for k, line in enumerate(own) if (i, k) not in gone}
+    for (i, _), w in words.items():
+        for at in range(len(w) - lines.RUN + 1):
+            runs[tuple(w[at : at + lines.RUN])].add(i)
+    out = {}
+    for i, t in rows:
+        kept = []
+        for k, line in enumerate(parts[i]):
+            if (i, k) in gone:
+                continue
+            w = words[i, k]
+            cut = {at + d for at in range(len(w) - lines.RUN + 1) if len(h := runs[tuple(w[at : at + lines.RUN])]) >= lines.RUN_DOCS and min(h) != i for d in range(lines.RUN)}
+            left = [x for at, x in enumerate(w) if at not in cut]
+            if not cut or left:
+                kept.append(" ".join(left) if cut else line)
+        out[i] = t if t is None else "\n".join(kept)
+    return out
+
+
+def test_lines_and_runs_as_by_brute_force(spark):
+    rng = random.Random(11)
+    words = [f"w{chr(97 + a)}{chr(97 + b)}" for a in range(20) for b in range(20)]
+    passages = [[rng.choice(words) for _ in range(rng.choice([49, 50, 51, 70, 130]))] for _ in range(8)]
+    rows = []
+    for i in range(60):
+        own = []
+        for _ in range(rng.randint(0, 4)):
+            line = [rng.choice(words) for _ in range(rng.randint(0, 30))]
+            for p in rng.sample(passages, rng.randint(0, 2)):
+                begin = rng.choice([0, 0, rng.randrange(len(p))])
+                line += p[begin:] + [rng.choice(words) for _ in range(rng.randint(0, 12))]
+            own.append(" ".join(line))
+        rows.append((i, "\n".join(own)))
+    rows += [(100, rows[7][1]), (101, rows[7][1]), (102, None), (103, "")]
+    found = {r["doc_id"]: r["text"] for r in lines.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    tidy = lambda t: t if t is None else "\n".join(" ".join(x.split()) for x in t.split("\n"))
+    expected = brute_all(rows)
+    assert {i: tidy(t) for i, t in found.items()} == {i: tidy(t) for i, t in expected.items()}
+    assert sum(a != b for (_, a), b in zip(rows, expected.values())) > 20
+
+
+def test_places_of_tokens_do_not_depend_on_the_slice():
+    texts = ["a b\nhttp://x y:/ / z", "", "://", "//a @b 7\r\n c", "é 漢 字\x0b1"]
+    raw = [t.encode() for t in texts]
+    import numpy as np
+
+    together = lines.Parsed(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    at = 0
+    for number, line in ((k, n) for k, t in enumerate(raw) for n, line in enumerate(t.split(b"\n")) if line.split()):
+        alone = raw[number].split(b"\n")[line]
+        assert (together.text[at], together.number[at], together.n[at]) == (number, line, len(alone.split()))
+        begin = together.first[at]
+        assert together.variable[begin : begin + together.n[at]].tolist() == [any(c in t for c in b"0123456789@") or b"://" in t for t in alone.split()]
+        assert together.exact()[at] == lines.Parsed(np.frombuffer(alone, np.uint8), np.array([0, len(alone)])).exact()[0]
+        at += 1
+    assert at == len(together.n)
