@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from probity.llm.common import byte_slices, bytes_of, checkpointed, table
+from probity.llm.words import Sums, mixed, words_in
 
 MIN_DOCS, MIN_TOKENS, LEADING, BANDS, LEAST_BAND = 3, 3, 2, 3, 4
 #: Bytes from which a line of fewer than ``MIN_TOKENS`` tokens has a template: text written without spaces is one token a line.
@@ -45,69 +46,16 @@ LEAST_BYTES = 24
 RUN, HALF, RUN_DOCS = 50, 25, 2
 #: Hit lines (in all documents) up to which they are broadcast to the texts, about 50 MB; beyond, the texts are shuffled to them.
 BROADCAST_HITS = 500_000
-_CHUNK = 1 << 20
-_DRAWN = np.random.default_rng(17).integers(0, 1 << 64, 259, np.uint64) | np.uint64(1)
-_LETTERS, _VARIABLE, _P, _Q = _DRAWN[:256], _DRAWN[256], _DRAWN[257], _DRAWN[258]
-_SPACE, _MARK = np.zeros(256, bool), np.zeros(256, bool)
-_SPACE[list(b" \t\n\r\x0b\x0c")] = True
+_MARK = np.zeros(256, bool)
 _MARK[list(b"0123456789@")] = True
-
-
-class _Powers:
-    """Powers of an odd number modulo 2**64 and of its inverse, as many as were asked for so far."""
-
-    def __init__(self, base: np.uint64):
-        self.bases = (int(base), pow(int(base), -1, 1 << 64))
-        self.held = [np.ones(1, np.uint64)] * 2
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.held[0]) < n:
-            size = 1 << (n - 1).bit_length()
-            for k, base in enumerate(self.bases):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                self.held[k] = np.cumprod(steps, dtype=np.uint64)
-        return self.held[0][:n], self.held[1][:n]
-
-
-_of_bytes, _of_tokens = _Powers(_P), _Powers(_Q)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(31))
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
-
-
-class _Sums:
-    """Hashes of stretches of a sequence of token hashes."""
-
-    def __init__(self, tokens: np.ndarray):
-        powers, self.inverse = _of_tokens(len(tokens) + 1)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * powers[: len(tokens)], dtype=np.uint64)])
-
-    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (self.sums[b] - self.sums[a]) * self.inverse[a]
-
-    def all_of(self, n: int) -> np.ndarray:
-        """Of every stretch of ``n`` tokens."""
-        return _mixed((self.sums[n:] - self.sums[:-n]) * self.inverse[: len(self.sums) - n])
+_VARIABLE, _JOIN = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 
 
 class Parsed:
     """The lines of a slice of texts that hold tokens: of which text, which line of it, from which token on, how many."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        space = _SPACE[data]
-        begins, ends = ~space, ~space
-        begins[1:] &= space[:-1]
-        ends[:-1] &= space[1:]
-        edge = np.unique(offsets[(offsets > 0) & (offsets < len(data))])  # a text's first byte begins a token, and its last ends one
-        begins[edge] = ~space[edge]
-        ends[edge - 1] = ~space[edge - 1]
-        self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        del space, begins, ends
-        self.tokens = self._hashes(data)
+        self.starts, self.ends, self.tokens = words_in(data, offsets)
         breaks = np.flatnonzero(data == 10)
         of_text = np.searchsorted(offsets, self.starts, "right") - 1
         self.line_of = np.searchsorted(breaks, self.starts) + of_text  # counted through all texts
@@ -122,54 +70,40 @@ class Parsed:
         at = np.searchsorted(self.starts, scheme, "right") - 1
         self.variable[at[scheme + 2 < self.ends[at]]] = True
 
-    def _hashes(self, data: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.starts), np.uint64)
-        at = 0
-        while at < len(out):
-            low = self.starts[at]
-            to = max(at + 1, int(np.searchsorted(self.ends, low + _CHUNK, "right")))
-            high = self.ends[to - 1]
-            powers, inverse = _of_bytes(int(high - low) + 1)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[data[low:high]] * powers[: high - low], dtype=np.uint64)])
-            s, e = self.starts[at:to] - low, self.ends[at:to] - low
-            out[at:to] = _mixed((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
-            at = to
-        return out
-
     def templates(self) -> tuple[np.ndarray, np.ndarray]:
         """(line, template): the last bit of a template says that it is the exact one of a long line."""
         n, first, line = self.n, self.first, np.arange(len(self.n))
         last = first + n
         if not len(n):
             return line, np.zeros(0, np.uint64)
-        exact = _Sums(self.tokens)
+        exact = Sums(self.tokens)
         variable = np.add.reduceat(self.variable.astype(np.int64), first)
         masked = (n >= MIN_TOKENS) & (variable > 0) & (2 * variable <= n)
         sums = exact
         if masked.any():
-            sums = _Sums(np.where(self.variable & np.repeat(masked, n), _VARIABLE, self.tokens))
+            sums = Sums(np.where(self.variable & np.repeat(masked, n), _VARIABLE, self.tokens))
         size = np.add.reduceat(self.ends - self.starts, first)
         short = n < LEADING + BANDS * LEAST_BAND
         whole = short & ((n >= MIN_TOKENS) | (size >= LEAST_BYTES))
         a, b, m = first[whole], last[whole], n[whole].astype(np.uint64)
-        lines, found = [line[whole]], [_mixed(sums.between(a, b) + m) & ~np.uint64(1)]
+        lines, found = [line[whole]], [mixed(sums.between(a, b) + m) & ~np.uint64(1)]
         a, b, m = first[~short], last[~short], n[~short]
         cuts = [a + LEADING + (m - LEADING) * k // BANDS for k in range(BANDS + 1)]
         for k in range(BANDS):
-            head = _mixed(sums.between(a, cuts[k]) + (m * BANDS + k).astype(np.uint64))
+            head = mixed(sums.between(a, cuts[k]) + (m * BANDS + k).astype(np.uint64))
             lines.append(line[~short])
-            found.append(_mixed(head * _P + sums.between(cuts[k + 1], b)) & ~np.uint64(1))
+            found.append(mixed(head * _JOIN + sums.between(cuts[k + 1], b)) & ~np.uint64(1))
         long = n >= RUN
         lines.append(line[long])
         found.append(self.exact(exact)[long] | np.uint64(1))
         return np.concatenate(lines), np.concatenate(found)
 
-    def exact(self, sums: _Sums | None = None) -> np.ndarray:
+    def exact(self, sums: Sums | None = None) -> np.ndarray:
         """The hash of each line's tokens."""
-        sums = sums or _Sums(self.tokens)
-        return _mixed(sums.between(self.first, self.first + self.n) + self.n.astype(np.uint64))
+        sums = sums or Sums(self.tokens)
+        return mixed(sums.between(self.first, self.first + self.n) + self.n.astype(np.uint64))
 
-    def least(self, sums: _Sums) -> tuple[np.ndarray, np.ndarray]:
+    def least(self, sums: Sums) -> tuple[np.ndarray, np.ndarray]:
         """(place, least hash of a half-run) of each run of ``RUN`` tokens within a line."""
         if len(self.tokens) < RUN:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -233,7 +167,7 @@ def _half_runs(keyed: DataFrame, places: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "text"):
             parsed = Parsed(*bytes_of(part.column("text")))
-            sums = _Sums(parsed.tokens)
+            sums = Sums(parsed.tokens)
             at, low = parsed.least(sums)
             line = np.searchsorted(parsed.first, at, "right") - 1
             new = np.r_[True, (low[1:] != low[:-1]) | (line[1:] != line[:-1])] if len(low) else np.zeros(0, bool)
@@ -255,7 +189,7 @@ def _runs(keyed: DataFrame, drops: DataFrame, run_docs: int) -> DataFrame:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "text"):
             parsed = Parsed(*bytes_of(part.column("text")))
-            sums = _Sums(parsed.tokens)
+            sums = Sums(parsed.tokens)
             at, low = parsed.least(sums)
             line = np.searchsorted(parsed.first, at, "right") - 1
             text, number = parsed.text[line], parsed.number[line]

@@ -25,8 +25,10 @@ def brute(rows, order, alpha, least):
     return out
 
 
-@pytest.mark.parametrize("order,tokens", [(1, 50), (2, 50), (2, 10**6), (3, 400)])
-def test_as_by_brute_force(docs, order, tokens):
+@pytest.mark.parametrize("order,tokens,bits", [(1, 50, 18), (2, 50, 3), (2, 10**6, 18), (3, 400, 18), (3, 400, 2), (4, 10**6, 18)])
+def test_as_by_brute_force(docs, monkeypatch, order, tokens, bits):
+    """With few words that have numbers, too: then most n-grams are known by their hashes."""
+    monkeypatch.setattr(ngram_lm, "BOOK", 1 << bits)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     expected = sorted(brute(rows, order, 0.4, 2), key=key)
@@ -45,3 +47,8 @@ def test_empty_texts_and_tables(spark, no_docs):
     rows = ngram_lm.score_documents(spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")).collect()
     assert [(r["n_tokens"], r["log_score"], r["mean_log_score"]) for r in rows] == [(0, 0.0, None)] * 2
     assert ngram_lm.score_documents(no_docs).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    rows = spark.createDataFrame([("a", "x y x y"), (None, "x y"), ("b", None)], "doc_id string, text string")
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_backoff"]) for r in ngram_lm.score_documents(rows).collect()) == [("None", 2, 0), ("a", 4, 2), ("b", 0, 0)]
