@@ -4,7 +4,7 @@ import pytest
 from probity.llm import ann
 
 
-def exact(vectors, queries, k):
+def exact(vectors, queries, k, kind=np.float32):
     out = set()
     for q_id, q in queries:
         best = {}
@@ -12,7 +12,7 @@ def exact(vectors, queries, k):
             if c_id != q_id and len(c) == len(q):
                 s = 0.0
                 for a, b in zip(q, c):
-                    s += float(np.float32(a)) * float(np.float32(b))
+                    s += float(kind(a)) * float(kind(b))
                 best[c_id] = max(s, best.get(c_id, -np.inf))
         for rank, (c_id, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k], 1):
             out.add((q_id, rank, c_id, s))
@@ -62,3 +62,22 @@ def test_fewer_candidates_than_k_and_none(spark):
     alone = table.where("vec_id = 0")
     assert ann.nearest(alone, alone).count() == 0
     assert ann.nearest(table.limit(0), table.limit(0)).count() == 0
+
+
+def test_doubles_are_not_rounded_to_floats(spark):
+    """Forty vectors that differ beyond single precision."""
+    good = [(i, [1.0 + i * 1e-12, 0.5]) for i in range(41)]
+    table = spark.createDataFrame(good, "vec_id long, embedding array<double>")
+    found = ann.nearest(table, table.where("vec_id = 0"), 3).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found} == exact(good, good[:1], 3, float)
+    assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"])] == [40, 39, 38]
+
+
+def test_vectors_of_any_length(spark):
+    rng = np.random.default_rng(6)
+    good = [(i, rng.normal(size=1536).astype(np.float32).tolist()) for i in range(60)]
+    table = vectors_of(spark, [(i, v, 0.0, 0) for i, v in good])
+    found = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(table, table.where("vec_id % 20 = 0"), 5, block=7).collect()}
+    assert found == exact(good, [(i, v) for i, v in good if i % 20 == 0], 5)
+    codes = np.full((2, 5000), 127, np.int8)
+    assert (ann.code_products(codes, codes) == 127 * 127 * 5000).all()
