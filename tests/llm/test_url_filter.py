@@ -57,7 +57,7 @@ def brute(urls, labels, support, confidence, most):
         for n in range(1, most + 1):
             for s in combinations(sorted(t), n):
                 having = [b for u, b in rows if set(s) <= u]
-                if sum(having) >= max(1, least) and sum(having) >= confidence * len(having):
+                if sum(having) >= max(url_filter.MIN_ROWS, least) and sum(having) >= confidence * len(having):
                     rules.add(s)
     return [any(set(s) <= tokens(u) for s in rules) for u in urls]
 
@@ -70,7 +70,7 @@ def test_mined_rules_as_by_brute_force(spark, monkeypatch, limit):
     table = spark.createDataFrame([(i, int(not b), 0, "extra") for i, b in labels] + [(999, 0, 1, ""), (None, 0, 1, "")], "doc_id long, quality int, toxic int, url string")
     out = url_filter.judge(pages_of(spark, [*urls, None, urls[0]]), table, min_support=0.05, min_confidence=0.6)
     found = {r["page_id"]: r["verdict"] for r in out.collect()}
-    expected = brute(urls, labels, 0.05, 0.6, 3)
+    expected = brute(urls, labels, 0.05, 0.6, 9)
     assert any(expected) and not all(expected)
     assert [found[i] == "block" for i in range(60)] == expected
     assert found[60] == "allow" and (found[61] == "block") == expected[0]
@@ -83,3 +83,26 @@ def test_no_python_in_the_plan(spark):
 
 def test_empty_tables(spark):
     assert url_filter.judge(pages_of(spark, []), no_labels(spark)).count() == 0
+
+
+def test_long_urls_do_not_multiply(spark):
+    """Forty tokens, fifty times, with labels of both kinds: one rule or none, not 2**40 sets."""
+    long = "http://long.example/" + "/".join(f"part{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    urls = [long] * 50 + [f"http://other.example/{'abcd'[i % 4]}" for i in range(50)]
+    for share, blocked in ((2, True), (3, False)):
+        table = spark.createDataFrame([(i, int(i % share > 0 or i >= 50), 0) for i in range(100)], "doc_id long, quality int, toxic int")
+        verdicts = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages_of(spark, urls), table).collect()}
+        assert all((verdicts[i] == "block") == (blocked and i < 50) for i in range(100))
+
+
+def test_rules_of_many_tokens(spark):
+    """Only five tokens together are blocked; any four of them are mostly allowed."""
+    words = ["va", "vb", "vc", "vd", "ve"]
+    urls = ["http://h.example/" + "/".join(words)] * 6
+    for gone in words:
+        urls += ["http://h.example/" + "/".join(w for w in words if w != gone)] * 3
+    table = spark.createDataFrame([(i, int(i >= 6), 0) for i in range(len(urls))], "doc_id long, quality int, toxic int")
+    out = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages_of(spark, urls), table).collect()}
+    expected = brute(urls, [(i, i < 6) for i in range(len(urls))], url_filter.MIN_SUPPORT, url_filter.MIN_CONFIDENCE, 9)
+    assert [out[i] == "block" for i in range(len(urls))] == expected
+    assert expected == [i < 6 or e for i, e in enumerate(expected)]
