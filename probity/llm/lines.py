@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from probity.llm.common import byte_slices, bytes_of, checkpointed, table
 from probity.llm.words import Sums, mixed, words_in
@@ -202,10 +202,15 @@ def _runs(keyed: DataFrame, drops: DataFrame, run_docs: int) -> DataFrame:
             at, line, text, number, low = at[known], line[known], text[known], number[known], low[known]
             good = np.array([t in there for t in zip(text.tolist(), number.tolist(), low.tolist())], bool)
             at, line, text, number = at[good], line[good], text[good], number[good]
-            take = pa.array(text)
             run = sums.all_of(RUN)[at] if len(at) else np.zeros(0, np.uint64)
-            columns = [part.column("doc_id").take(take), part.column("row_key").take(take), _signed(run), pa.array(number.astype(np.int32)), pa.array((at - parsed.first[line]).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "run", "line", "start"])
+            # a row for each run of a line, however often the line repeats it
+            order = np.lexsort((at, run, line))
+            at, line, text, number, run = at[order], line[order], text[order], number[order], run[order]
+            new = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (line[1:] != line[:-1])]) if len(run) else at
+            take = pa.array(text[new])
+            starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(at)).astype(np.int32)), pa.array((at - parsed.first[line]).astype(np.int32)))
+            columns = [part.column("doc_id").take(take), part.column("row_key").take(take), _signed(run[new]), pa.array(number[new].astype(np.int32)), starts]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "run", "line", "starts"])
 
     often = _half_runs(keyed, False).groupBy("half").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low <> high").select("half")
     gone = drops.select(F.col("doc_id").alias("__i"), F.col("row_key").alias("__k"), F.col("line").alias("__l"))
@@ -215,11 +220,11 @@ def _runs(keyed: DataFrame, drops: DataFrame, run_docs: int) -> DataFrame:
     total = held.agg(F.sum(F.size("hits"))).first()[0] or 0
     held = F.broadcast(held) if total <= BROADCAST_HITS else held
     texts = keyed.join(held, (F.col("row_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("i")))
-    found = texts.select("doc_id", "row_key", "text", "hits").mapInArrow(whole, StructType([*schema.fields]).add("run", "long").add("line", "integer").add("start", "integer"))
+    found = texts.select("doc_id", "row_key", "text", "hits").mapInArrow(whole, StructType([*schema.fields]).add("run", "long").add("line", "integer").add("starts", ArrayType(IntegerType())))
     runs = checkpointed(found)
     once = runs.select("run", "row_key", "doc_id").distinct()
     shared = once.groupBy("run").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where(F.col("n") >= run_docs).select("run", "first_doc")
-    return runs.join(shared, "run").where("first_doc is not null and not (doc_id <=> first_doc)").select("doc_id", "row_key", "line", "start")
+    return runs.join(shared, "run").where("first_doc is not null and not (doc_id <=> first_doc)").select("doc_id", "row_key", "line", F.explode("starts").alias("start"))
 
 
 def cut_runs(text: str, cuts: list[tuple[int, int]]) -> tuple[str, int]:
