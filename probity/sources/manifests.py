@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Callable
 from pathlib import Path
 from typing import Any
 
@@ -75,6 +76,65 @@ def number_of(document: dict[str, Any], key: str, what: str) -> float:
     return found
 
 
+#: A field's check: (document, key, what it is called in a refusal) to the value.
+Check = Callable[[dict[str, Any], str, str], Any]
+
+
+def flag_of(document: dict[str, Any], key: str, what: str) -> bool:
+    if not isinstance(document.get(key), bool):
+        raise Refusal(f"{what}: {key} must be true or false.")
+    return document[key]
+
+
+def one_of(*values: str) -> Check:
+    def check(document: dict[str, Any], key: str, what: str) -> str:
+        if (value := document.get(key)) not in values:
+            raise Refusal(f"{what}: unknown {key} {value!r}; it must be one of {', '.join(values)}.")
+        return value
+
+    return check
+
+
+def maybe(check: Check) -> Check:
+    """A field that may be absent or null."""
+    return lambda document, key, what: None if document.get(key) is None else check(document, key, what)
+
+
+def at_least(least: float, check: Check) -> Check:
+    def bounded(document: dict[str, Any], key: str, what: str) -> Any:
+        if (value := check(document, key, what)) < least:
+            raise Refusal(f"{what}: {key} must not be less than {least:g}.")
+        return value
+
+    return bounded
+
+
+def whole(least: int = 0) -> Check:
+    return lambda document, key, what: integer_of(document, key, what, least)
+
+
+def plain_text(document: dict[str, Any], key: str, what: str) -> str:
+    """Text as it is, the empty one too."""
+    if not isinstance(document.get(key), str):
+        raise Refusal(f"{what}: {key} must be text.")
+    return document[key]
+
+
+def fields_of(document: object, checks: dict[str, Check], what: str) -> dict[str, Any]:
+    """The fields of an object, each as its check returns it."""
+    if not isinstance(document, dict):
+        raise Refusal(f"{what} must be an object.")
+    return {key: check(document, key, what) for key, check in checks.items()}
+
+
+def list_of(document: dict[str, Any], key: str, what: str, least: int = 0) -> list[Any]:
+    """A list of at least so many entries."""
+    value = document.get(key)
+    if not isinstance(value, (list, tuple)) or len(value) < least:
+        raise Refusal(f"{what}: {key} must be a list" + " that is not empty." * bool(least))
+    return list(value)
+
+
 def scoring_context(path: str | Path, records: int, cfg: AuditConfig) -> dict[str, Any]:
     """What two audits must have in common to be compared, from the scorer's manifest."""
     what = "Scoring manifest"

@@ -343,3 +343,49 @@ def test_reports_escape_what_they_show(spark, tmp_path):
     page = (tmp_path / "r.html").read_text()
     assert "<script>" not in page and "&lt;script&gt;" in page
     assert reports.value(None) == "n/a" and reports.value(0.125) == "0.12" and reports.repeated(1.0, 0.5, 3) == "1.00 ± 0.50 (n=3)"
+
+
+def test_logs_heal_and_refuse(tmp_path):
+    """A sample that only lacks its line end counts; a torn one goes once all else is checked; blank lines and changed files are refused."""
+    from probity.streaming.checkpoint import Log
+
+    path, context = tmp_path / "log.jsonl", {"model": "m", "seed": 1}
+    sample = {"case_id": "c", "variant_id": "v", "variant_type": "gaming", "sample_index": 1, "input_sha256": "a" * 64, "score": 1.5, "reason": "", "raw_content": "{}", "response_id": None, "prompt_tokens": 3, "completion_tokens": None, "latency_seconds": 0.5}
+    Log.create(path, context).append(sample)
+    path.write_bytes(path.read_bytes().rstrip())
+    log = Log.load(path, context)
+    assert log.torn_at is None and list(log.samples) == [("c", "v", 1)]
+    log.append(sample | {"sample_index": 2})
+    assert len(Log.load(path, context).samples) == 2
+    whole = path.read_bytes()
+    for tail in (b'{"type": "sam', b"  ", b"\xff\xfe"):
+        path.write_bytes(whole + tail)
+        log = Log.load(path, context)
+        assert path.read_bytes() == whole + tail and log.repair() and path.read_bytes() == whole and not log.repair()
+    path.write_bytes(whole + b"{")
+    log = Log.load(path, context)
+    path.write_bytes(whole + b"{{")
+    with pytest.raises(Refusal, match="changed"):
+        log.repair()
+    for raw, why in ((whole + b"\n", "blank"), (whole + b"{\n", "malformed"), (b"", "empty"), (whole.replace(b'"score": 1.5', b'"score": true'), "score"), (whole.replace(b'"prompt_tokens": 3', b'"prompt_tokens": -3'), "prompt_tokens"), (whole.replace(b"gaming", b"other"), "variant_type")):
+        path.write_bytes(raw)
+        with pytest.raises(Refusal, match=why):
+            Log.load(path, context)
+    path.write_bytes(whole)
+    with pytest.raises(Refusal, match="seed"):
+        Log.load(path, context | {"seed": 2})
+    path.unlink()
+    for act in (lambda: Log.load(path, context), lambda: log.append(sample)):
+        with pytest.raises(Refusal, match="does not exist"):
+            act()
+
+
+def test_replies_are_read_strictly():
+    from probity.sources.provider import ProviderError, parse_score, token_count
+
+    for text in ('{"score": "4", "reason": " r "}', '```\n{"score": 4, "reason": "r"}\n```', 'Well: {"score": 4.0, "reason": "r"} as said', '```json\n{"score": 4, "reason": "r"}'):
+        assert parse_score(text, 0, 10) == (4.0, "r")
+    for text, why in (("", "no JSON object"), ("[1]", "JSON object"), ('"x"', "JSON object"), ('{"score": 1} {"score": 2}', "malformed"), ('{"score": NaN}', "finite"), ('{"reason": "x"}', "numeric"), ('```\n[{"score": 1}]\n```', "JSON object"), ("} {", "no JSON object")):
+        with pytest.raises(ProviderError, match=why):
+            parse_score(text, 0, 10)
+    assert [token_count(x) for x in (None, "12", 3.9, "x", [], float("inf"))] == [None, 12, 3, None, None, None]
