@@ -8,13 +8,14 @@ The two give different picks, and manifests name the mode.
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probity.functions import text as T
+from probity.functions.fingerprint import text_hash
 from probity.functions.languages import CHINESE, Language
 from probity.refusals import Refusal, Rule, check
 
@@ -25,20 +26,46 @@ PADDING_COUNT = 2
 CASE_COLUMNS = ("case_id", "variant_id", "variant_type", "text", "notes")
 
 
+@dataclass(frozen=True)
+class Strategy:
+    """A strategy of a user's own: its family, its columns for a language, and its picks, if it draws any."""
+
+    family: str
+    build: Callable[[Language], Built]
+    picks: Callable[[int, Language], Column] | None = None
+
+
+_OWN: dict[str, Strategy] = {}
+
+
+def register(name: str, strategy: Strategy) -> None:
+    """Make a strategy known by ``name``; its picks are hashed ones, since a seeded generator's sequence belongs to the built-in strategies."""
+    if strategy.family not in ("gaming", "degradation", "paraphrase"):
+        raise Refusal(f"{strategy.family!r} is no family of variants.")
+    if name in (*GAMING, *DEGRADATION, *PARAPHRASE):
+        raise Refusal(f"The strategy {name!r} is built in.")
+    _OWN[name] = strategy
+
+
+def known_strategies(family: str) -> tuple[str, ...]:
+    built_in = {"gaming": GAMING, "degradation": DEGRADATION, "paraphrase": PARAPHRASE}[family]
+    return (*built_in, *(name for name, s in _OWN.items() if s.family == family))
+
+
 def family_of(strategy: str) -> str:
-    for family, names in (("gaming", GAMING), ("degradation", DEGRADATION), ("paraphrase", PARAPHRASE)):
-        if strategy in names:
+    for family in ("gaming", "degradation", "paraphrase"):
+        if strategy in known_strategies(family):
             return family
-    raise Refusal(f"Unknown strategy {strategy!r}; known are {', '.join((*GAMING, *DEGRADATION, *PARAPHRASE))}.")
+    raise Refusal(f"Unknown strategy {strategy!r}; known are {', '.join((*GAMING, *DEGRADATION, *PARAPHRASE, *_OWN))}.")
 
 
 def validate_families(gaming: Sequence[str], degradation: Sequence[str], paraphrase: Sequence[str]) -> None:
-    for family, chosen, known, needed in (("gaming", gaming, GAMING, True), ("degradation", degradation, DEGRADATION, True), ("paraphrase", paraphrase, PARAPHRASE, False)):
+    for family, chosen, needed in (("gaming", gaming, True), ("degradation", degradation, True), ("paraphrase", paraphrase, False)):
         if needed and not chosen:
             raise Refusal(f"At least one {family} strategy is needed: every case must have such a variant.")
         for name in chosen:
-            if name not in known:
-                raise Refusal(f"{name!r} is not a {family} strategy; those are {', '.join(known)}.")
+            if name not in known_strategies(family):
+                raise Refusal(f"{name!r} is not a {family} strategy; those are {', '.join(known_strategies(family))}.")
 
 
 def hashed_pick(seed: int, strategy: str, n: int, number: int = 0) -> Column:
@@ -49,6 +76,9 @@ def hashed_pick(seed: int, strategy: str, n: int, number: int = 0) -> Column:
 
 def hashed_draws(strategy: str, seed: int, language: Language) -> Column:
     """The picks of a strategy as an array of indices; two different ones for padding."""
+    if strategy in _OWN:
+        own = _OWN[strategy].picks
+        return own(seed, language) if own else F.array().cast("array<int>")
     if strategy == "verbose_padding":
         n = len(language.padding)
         first, second = hashed_pick(seed, strategy, n), hashed_pick(seed, strategy, n - 1, 1)
@@ -106,6 +136,8 @@ def _degradation_rules(text: Column) -> list[tuple[str, Column]]:
 
 def build(strategy: str, language: Language) -> Built:
     """Columns over text, sentences, evidence_sentences, picks, and ``produced`` once the text is made."""
+    if strategy in _OWN:
+        return _OWN[strategy].build(language)
     text, produced, none = F.col("text"), F.col("produced"), F.array().cast("array<string>")
     sentences, evidence = F.col("sentences"), F.col("evidence_sentences")
 
@@ -148,7 +180,7 @@ def _notes(strategy: str, magnitude: Column) -> Column:
 
 def variant(cases: DataFrame, strategy: str, language: Language = CHINESE, *, seed: int = 0, draws: DataFrame | None = None) -> DataFrame:
     """One variant per case: the columns of a case file, inserted text, magnitude, and the broken postcondition if any."""
-    if draws is None:
+    if draws is None or strategy in _OWN:
         picked = cases.withColumn("picks", hashed_draws(strategy, seed, language))
     else:
         picked = cases.join(draws.where(F.col("strategy") == strategy).drop("strategy"), "ordinal")
@@ -211,13 +243,7 @@ def merge_origin(merged: DataFrame) -> DataFrame:
 
 def ratified(review: DataFrame, cases: DataFrame) -> DataFrame:
     """Approved rewrites as variants, with the reason to refuse one in ``problem``."""
-    from probity.functions.fingerprint import stable_hash
-
-    @F.udf("string")
-    def text_hash(text: str | None) -> str | None:
-        return None if text is None else stable_hash(text)
-
-    known = cases.select("case_id", text_hash("text").alias("expected"))
+    known = cases.select("case_id", text_hash(F.col("text")).alias("expected"))
     approved = review.where("status = 'approved'").join(known, "case_id", "left")
     problem = F.when(F.col("expected").isNull(), F.concat(F.lit("The review names case '"), "case_id", F.lit("', which is not among the baselines."))).when(
         F.col("expected") != F.lower("baseline_sha256"), F.concat(F.lit("Case '"), "case_id", F.lit("' was edited after its rewrite was drafted; draft it anew."))

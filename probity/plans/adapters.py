@@ -19,7 +19,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as scores: the first line of an order is the baseline, the next a gaming variant, then a degradation, then paraphrases."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
     order = W.partitionBy("l_orderkey")
-    ranked = lines.withColumn("rank", F.row_number().over(order.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))).withColumn("n", F.count("*").over(order)).where("n >= 3")
+    ranked = lines.withColumn("rank", F.row_number().over(order.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
     return ranked.select(
         F.lit("lineitem").alias("system_name"),
         F.col("l_orderkey").cast("string").alias("case_id"),
@@ -60,22 +60,22 @@ def scored_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents that have a text as baselines, stripped; the second sentence counts as annotated."""
-    text = F.regexp_replace("text", r"^[\s]+|[\s]+$", "")
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    """All documents as baselines, stripped, a null text as an empty one; the second sentence counts as annotated."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"^[\s]+|[\s]+$", "")
+    docs = table(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").cast("string").alias("case_id"), text.alias("text"), F.array(F.lit(2).cast("long")).alias("evidence_sentences"), F.lit("").alias("notes"), F.col("doc_id").alias("ordinal"))
 
 
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with the next one as if it were a draft of it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Each document with the next one as if it were a draft of it, and an empty draft where there is none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("draft_text"))
-    return docs.join(after, "doc_id").select(F.col("doc_id").cast("string").alias("case_id"), F.col("text").alias("baseline_text"), "draft_text")
+    return docs.join(after, "doc_id", "left").select(F.col("doc_id").cast("string").alias("case_id"), F.col("text").alias("baseline_text"), F.coalesce("draft_text", F.lit("")).alias("draft_text"))
 
 
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations of three and more turns as trajectories: roles as tools, texts as results."""
-    turns = table(spark, sf_dir, "conversations").where("role <> 'system'")
+    turns = table(spark, sf_dir, "conversations")
     step = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").alias("tool"), F.lit("{}").alias("args"), F.coalesce("text", F.lit("")).alias("result"), F.lit("").alias("note"))
     grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(step)).alias("s")).where("size(s) >= 3")
     return grouped.select(

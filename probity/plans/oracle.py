@@ -13,16 +13,25 @@ def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _json(text: str) -> str:
+    """A text as a JSON string."""
+    short = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
+    out = f"replace(replace({text}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34))"
+    for code in range(1, 32):
+        out = f"replace({out}, chr({code}), chr(92) || '{short.get(code, f'u{code:04x}')}')"
+    return f"chr(34) || {out} || chr(34)"
+
+
 def _list(values) -> str:
     return "[" + ", ".join(map(_q, values)) + "]"
 
 
 SCORES = """
-ranked as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as rk, count(*) over (partition by l_orderkey) as n from lineitem),
+ranked as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as rk from lineitem),
 scores as (select l_orderkey::varchar as case_id, 'v' || rk as variant_id,
   case rk when 1 then 'baseline' when 2 then 'gaming' when 3 then 'degradation' else 'paraphrase' end as variant_type,
   l_quantity / 5.0::double as score, case when l_linenumber > 1 then l_discount * 10.0::double end as score_stddev, l_linenumber::bigint as sample_count, rk as ordinal, l_tax
-  from ranked where n >= 3),
+  from ranked),
 moved as (select * replace (least(10.0::double, greatest(0.0::double, score + (l_tax - 0.04::double) * 25.0::double)) as score) from scores)"""
 
 
@@ -85,7 +94,7 @@ state as (select * from samples)"""
 
 _SPACES = r"[\s\x0B\x1C-\x1F]"
 BASELINES = """
-baselines as (select doc_id::varchar as case_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as text, doc_id as ordinal from documents where text is not null)"""
+baselines as (select doc_id::varchar as case_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') as text, doc_id as ordinal from documents)"""
 
 
 def _class(characters: str, negated: bool = False) -> str:
@@ -98,9 +107,24 @@ def _sentences(text: str, language: Language = ENGLISH) -> str:
     return f"regexp_extract_all({text}, {_q('(?s)' + _class(ends, True) + '*' + _class(ends) + _class(language.closers) + '*|' + _class(ends, True) + '+$')})"
 
 
+def _english(language: Language = ENGLISH) -> str:
+    """Sentences with the guards around full stops: what stands at every character, then the ends, then what lies between them."""
+    abbreviations = "(" + ", ".join(map(_q, sorted(language.abbreviations))) + ")"
+    return f"""
+letters as (select case_id, text, unnest(range(1, len(text) + 1))::bigint as i, unnest(string_split(text, '')) as c from baselines where text <> ''),
+marked as (select *, max(case when not regexp_full_match(c, '[\\pL.]') then i else 0 end) over before as other, min(case when not regexp_full_match(c, '[\\s\\pZ\\x1C-\\x1F\\x85]') then i end) over after as next_at,
+  min(case when not contains({_q(language.closers)}, c) then i end) over after as closed_at, lag(c) over place as prior_c, lead(c) over place as next_c
+  from letters window before as (partition by case_id order by i rows between unbounded preceding and 1 preceding), after as (partition by case_id order by i rows between 1 following and unbounded following), place as (partition by case_id order by i)),
+stops as (select *, lower(replace(substring(text, coalesce(other, 0) + 1, i - 1 - coalesce(other, 0)), '.', '')) as word, substring(text, next_at, 1) as next_letter from marked where contains({_q(language.terminators)}, c)),
+ends as (select case_id, text, coalesce(closed_at - 1, len(text)) as e from stops where not (contains({_q(language.ambiguous)}, c) and (
+  coalesce(regexp_full_match(prior_c, '\\p{{Nd}}') and regexp_full_match(next_c, '\\p{{Nd}}'), false) or len(word) = 1 or word in {abbreviations} or coalesce(regexp_full_match(next_letter, '\\p{{Ll}}'), false)))
+  union select case_id, text, len(text) from baselines where text <> ''),
+english as (select case_id, row_number() over w as number, substring(text, coalesce(lag(e) over w, 0) + 1, e - coalesce(lag(e) over w, 0)) as sentence from ends window w as (partition by case_id order by e))"""
+
+
 SPLIT = f"""
-x as (select *, {_sentences("text")} as sentences, [2] as evidence, '' as notes from baselines),
-split as (select *, list_filter(sentences, lambda s, i: i <> 2) as kept from x where len(sentences) >= 2)"""
+x as (select *, {_sentences("text")} as sentences, '' as notes from baselines),
+split as (select *, least(2, len(sentences)) as e, list_filter(sentences, lambda s, i: i <> least(2, len(sentences))) as kept from x)"""
 
 
 def _strip(text: str) -> str:
@@ -121,8 +145,8 @@ def _degradation(strategy: str, produced: str, removed: str) -> str:
     shorter = "when len(produced) >= len(text) then 'remove_evidence did not shorten the baseline.'" if strategy == "remove_evidence" else ""
     return f"""with {BASELINES}, {SPLIT}, j as (select *, array_to_string(kept, '') as joined from split), k as (select *, {_strip("joined")} as bare from j), made as (select *, {produced} as produced from k)
 select case_id, 'degradation_{strategy}' as variant_id, 'degradation' as variant_type, produced as text,
-  'generated={strategy} | removed_characters=' || ({removed}) || '; removed_sentences=1; removed_share=' || printf('%.3f', ({removed})::double / len(text)) as notes,
-  case {shorter} when contains(produced, sentences[2]) then '{strategy} still contains an annotated sentence.' end as problem from made"""
+  'generated={strategy}' || coalesce(' | removed_characters=' || ({removed}) || '; removed_sentences=' || (e > 0)::integer || '; removed_share=' || printf('%.3f', ({removed})::double / nullif(len(text), 0)), '') as notes,
+  case {shorter} when contains(produced, sentences[e]) then '{strategy} still contains an annotated sentence.' end as problem from made"""
 
 
 def _connectives() -> str:
@@ -155,7 +179,8 @@ def _negations(text: str) -> str:
 
 
 DRAFTS = f"""
-pairs as (select a.doc_id::varchar as case_id, a.text as baseline_text, b.text as draft_text, {_strip("a.text")} as b, {_strip("b.text")} as d from documents a join documents b on b.doc_id = a.doc_id + 1),
+texts as (select doc_id, coalesce(text, '') as text from documents),
+pairs as (select a.doc_id::varchar as case_id, a.text as baseline_text, coalesce(b.text, '') as draft_text, {_strip("a.text")} as b, {_strip("coalesce(b.text, '')")} as d from texts a left join texts b on b.doc_id = a.doc_id + 1),
 noted as (select *, list_sort(list_distinct(list_filter(regexp_extract_all(b, '[0-9]+(?:\\.[0-9]+)?'), lambda n: not contains(d, n)))) as gone, {_negations("b")} as before, {_negations("d")} as after from pairs),
 drafts as (select case_id, baseline_text, draft_text,
   case when d = '' then 'empty' else concat_ws('; ', case when d = b then 'identical' when b <> '' and contains(d, b) then 'echoes_baseline' end, case when b <> '' and not (len(d)::double / len(b) between 0.4 and 2.5) then 'length_out_of_band' end) end as blocking_checks,
@@ -163,7 +188,7 @@ drafts as (select case_id, baseline_text, draft_text,
 reviewed as (select *, case when blocking_checks <> '' then 'blocked' else 'pending' end as status from drafts)"""
 
 TRAJECTORIES = """
-turns as (select conv_id, turn, role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn, role, coalesce(text, '')) as i, count(*) over (partition by conv_id) as n from conversations where role <> 'system'),
+turns as (select conv_id, turn, role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn, role, coalesce(text, '')) as i, count(*) over (partition by conv_id) as n from conversations),
 steps as (select conv_id::varchar as case_id, i, n, role as tool, '{}' as args, text as result, '' as note from turns where n >= 3)"""
 _L = ENGLISH.labels
 RENDERED = f"""
@@ -207,7 +232,7 @@ select n.*, s.risk_level as reference_risk_level, s.risk_is_provisional as refer
     "compare_identity_diff": f"""{BOTH}, r as (select case_id, variant_id, true as a from f where variant_sample_count <> 7), q as (select case_id, variant_id, true as b from g where variant_id <> 'v7')
 select case_id, variant_id, case when a is null then 'reference' else 'candidate' end as missing_in from r full join q using (case_id, variant_id) where a is null or b is null""",
     "compare_self_consistency": f"{SUMMARY} " + " union all ".join(f"select '{m}' as field, round({m}::double, 9) as declared, round({m}::double, 9) as actual, true as agrees from s" for m in ("variant_count", "violation_count", "uncertain_count", "violation_rate")),
-    "report_order": f"{BOTH}, {COMPARED} select case_id, variant_id, status, list_position({_list(STATUSES)}, status)::integer as status_rank, round(abs(severity_change), 9) as size from compared order by 4, 5 desc, 1, 2",
+    "report_order": f"{BOTH}, {COMPARED} select case_id, variant_id, status, list_position({_list(STATUSES)}, status)::integer as status_rank, round(abs(severity_change), 9) as size, row_number() over (order by list_position({_list(STATUSES)}, status), abs(severity_change) desc, case_id, variant_id) as position from compared",
     "repeat_aggregate": f"with {SAMPLES} select case_id, variant_id, variant_type, round(avg(score), 9) as score, round(stddev_samp(score), 9) as score_stddev, count(*) as sample_count, arg_min(reason, sample_index) as first_reason from samples group by 1, 2, 3",
     "token_totals": f"with {SAMPLES} select case when count(*) = count(prompt_tokens) then sum(prompt_tokens)::bigint end as prompt_tokens_total, case when count(*) = count(completion_tokens) then sum(completion_tokens)::bigint end as completion_tokens_total from samples",
     "latency_totals": f"""with {SAMPLES}, r as (select *, sample_index <= 2 as resumed from samples) select count(*) as sample_count, count(*) filter (resumed) as resumed_sample_count, count(*) filter (not resumed) as new_sample_count,
@@ -217,7 +242,7 @@ select case_id, variant_id, case when a is null then 'reference' else 'candidate
     "resume_mismatch": f"with {SAMPLES}, {STATE} select s.case_id, s.variant_id, s.sample_index from state s join planned p using (case_id, variant_id, sample_index) where s.variant_type <> p.variant_type or s.input_sha256 <> p.input_sha256",
     "planned_samples": f"with {BASELINES} select case_id, 'baseline' as variant_id, k.i::bigint as sample_index, sha256(text) as input_sha256 from baselines cross join (select unnest([1, 2, 3]) as i) k",
     "sentence_split": f"with {BASELINES}, z as (select case_id, {_sentences('text')} as s from baselines) select case_id, unnest(range(1, len(s) + 1))::bigint as number, unnest(s) as sentence from z",
-    "sentence_split_english": f"with {BASELINES} select case_id, true as lossless, false as has_empty from baselines",
+    "sentence_split_english": f"with {BASELINES}, {_english()} select case_id, number, sentence from english",
     "gaming_verbose_padding": _addition(
         "verbose_padding", f"text || ' ' || list_extract({_list(ENGLISH.padding)}, p1 + 1) || ' ' || list_extract({_list(ENGLISH.padding)}, p2 + 1)", 2,
         f""", drawn as (select *, {_pick("verbose_padding", 6)} as p1, {_pick("verbose_padding", 5, 1)} as q2 from split), picked as (select *, case when q2 >= p1 then q2 + 1 else q2 end as p2 from drawn)""",
@@ -231,8 +256,9 @@ select case_id, variant_id, case when a is null then 'reference' else 'candidate
   case when count(*) filter (merge_class in ('edited', 'foreign')) > 0 then 'mixed' else 'machine-generated' end as set_origin from merged""",
     "review_checks": f"with {DRAFTS} select case_id, blocking_checks, review_notes, status from reviewed",
     "review_tally": f"with {DRAFTS} select s as status, count(reviewed.case_id) as n from (select unnest(['pending', 'blocked', 'approved', 'rejected']) as s) left join reviewed on status = s group by s",
-    "ratified_rows": f"""with {DRAFTS}, {BASELINES} select r.case_id, 'paraphrase_ratified' as variant_id, r.draft_text as text, 'generated=human_ratified_paraphrase' as notes from reviewed r join baselines k on k.case_id = r.case_id and sha256(k.text) = sha256(r.baseline_text)
-where r.status = 'pending' and not regexp_matches(k.text, '[0-9]')""",
+    "ratified_rows": f"""with {DRAFTS}, {BASELINES}, hashed as (select r.case_id, r.draft_text, sha256({_json("r.baseline_text")}) as drafted, sha256({_json("k.text")}) as expected, k.ordinal from reviewed r join baselines k on k.case_id = r.case_id where r.status = 'pending')
+select case_id, 'paraphrase_ratified' as variant_id, 'paraphrase' as variant_type, draft_text as text, 'generated=human_ratified_paraphrase' || case when ordinal % 2 = 0 then ' | reviewer_note=read' else '' end as notes,
+  case when drafted <> expected then 'Case ''' || case_id || ''' was edited after its rewrite was drafted; draft it anew.' end as problem from hashed""",
     "traj_render": f"with {TRAJECTORIES} {RENDERED}",
     "traj_redundant_tool_calls": f"""with {TRAJECTORIES}, p as (select *, {_FIRST} as a from steps), q as (select *, i in (a, a % n + 1) as again from p),
 o as (select *, row_number() over (partition by case_id order by i, d) as new_i from (select *, unnest(case when again then [1, 2] else [1] end) as d from q)),
@@ -246,6 +272,5 @@ select l.* replace (case when twice then 'redundant_tool_calls changed the seque
 {_listed("h", "hollow_evidence", "degradation", "'generated=hollow_evidence | hollowed_steps=[1] removed_result_characters=' || " + _STEP1.format("len(old)"), f"case when {_BLANK} then 'hollow_evidence finds a load-bearing step that returns nothing already.' when contains('{ENGLISH.empty_result}', {_STEP1.format('old')}) then 'hollow_evidence left an original result in place.' end")}""",
     "traj_reorder_independent_steps": f"""with {TRAJECTORIES}, o as (select *, case i when 1 then 2 when 2 then 1 else i end as new_i from steps)
 {_listed("o", "reorder_independent_steps", "paraphrase", "'generated=reorder_independent_steps | reordered_groups=[[1, 2]]'", "case when " + _STEP1.format("tool") + " = max(case when i = 2 then tool end) and " + _STEP1.format("result") + " = max(case when i = 2 then result end) then 'reorder_independent_steps moved nothing: the declared steps are the same.' end")}""",
-    "row_fingerprint": f"""with {BASELINES}, t as (select case_id, translate(text, chr(34) || chr(92) || chr(9) || chr(10) || chr(13) || chr(8) || chr(12), '''''     ') as text from baselines)
-select case_id, sha256('{{"case_id":"' || case_id || '","notes":"","text":"' || text || '","variant_id":"baseline","variant_type":"baseline"}}') as fingerprint from t""",
+    "row_fingerprint": f"""with {BASELINES} select case_id, sha256('{{"case_id":"' || case_id || '","notes":"","text":' || {_json("text")} || ',"variant_id":"baseline","variant_type":"baseline"}}') as fingerprint from baselines""",
 }

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probity.functions import text as T
-from probity.functions.fingerprint import CASE_FIELDS, row_fingerprint
+from probity.functions.fingerprint import CASE_FIELDS, row_fingerprint, text_hash
 from probity.functions.languages import ENGLISH
 from probity.operators import audit, compare, paraphrase, scoring, trajectory, variants
 from probity.plans import adapters as A
 from probity.plans import oracle
 from probity.refusals import violations
+from probity.session import kept
+from probity.sources.tables import numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONFIG = audit.AuditConfig()
@@ -119,7 +121,8 @@ def compare_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compare_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = compare.totals(audit.summary(_findings(spark, sf_dir), CONFIG), audit.summary(_candidate(spark, sf_dir), CONFIG), _compared(spark, sf_dir))
+    reference, candidate = kept(_findings(spark, sf_dir)), kept(_candidate(spark, sf_dir))  # each is used twice
+    found = compare.totals(audit.summary(reference, CONFIG), audit.summary(candidate, CONFIG), compare.findings(reference, candidate, CONFIG))
     return rounded(found, "reference_violation_rate", "candidate_violation_rate", "violation_rate_change")
 
 
@@ -129,11 +132,14 @@ def compare_identity_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compare_self_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(compare.self_consistency(_findings(spark, sf_dir), audit.summary(_findings(spark, sf_dir), CONFIG)), "declared", "actual")
+    found = kept(_findings(spark, sf_dir))  # used twice
+    return rounded(compare.self_consistency(found, audit.summary(found, CONFIG)), "declared", "actual")
 
 
 def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(compare.report_order(_compared(spark, sf_dir)).select("case_id", "variant_id", "status", "status_rank", "size"), "size")
+    """The order itself is compared, as a number for each row."""
+    ordered = kept(compare.report_order(_compared(spark, sf_dir)).select("case_id", "variant_id", "status", "status_rank", "size"))
+    return rounded(numbered(ordered, "position"), "size")
 
 
 def repeat_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,15 +188,16 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_split_english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What must hold of English sentences: joined they are the text; none is empty."""
-    docs = A.baselines(spark, sf_dir).withColumn("s", T.sentences(F.col("text"), ENGLISH))
-    return docs.select("case_id", (F.array_join("s", "") == F.col("text")).alias("lossless"), F.exists("s", lambda x: x == "").alias("has_empty"))
+    """Sentences with the guards around full stops; numbered from 1."""
+    docs = A.baselines(spark, sf_dir)
+    return docs.select("case_id", F.posexplode(T.sentences(F.col("text"), ENGLISH)).alias("at", "sentence")).select("case_id", (F.col("at") + 1).cast("long").alias("number"), "sentence")
 
 
 def _split_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Baselines with their sentences; one of a single sentence is none, because nothing is left without the evidence."""
-    cases = A.baselines(spark, sf_dir)
-    return cases.withColumn("sentences", T.sentences(F.col("text"), A.PLAIN)).where(F.size("sentences") >= 2)
+    """Baselines with their sentences; the evidence is the second one, or the only one."""
+    cases = A.baselines(spark, sf_dir).withColumn("sentences", T.sentences(F.col("text"), A.PLAIN))
+    last = F.least(F.size("sentences"), F.lit(2)).cast("long")
+    return cases.withColumn("evidence_sentences", F.when(last > 0, F.array(last)).otherwise(F.array().cast("array<bigint>")))
 
 
 def _variant(strategy: str, language=ENGLISH) -> Query:
@@ -237,12 +244,11 @@ def review_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ratified_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approved drafts as variants, less those already present: the relational part, on hashes that both engines have."""
+    """Drafts that nothing blocks as approved rewrites of all documents; texts that were stripped since are edited ones."""
     review = paraphrase.checked(A.drafts(spark, sf_dir), ENGLISH).where("status = 'pending'")
-    present = A.baselines(spark, sf_dir).where("text rlike '[0-9]'").select("case_id")
-    known = A.baselines(spark, sf_dir).select("case_id", F.sha2(F.col("text").cast("binary"), 256).alias("expected"))
-    joined = review.join(known, "case_id").where(F.sha2(F.col("baseline_text").cast("binary"), 256) == F.col("expected"))
-    return joined.join(present, "case_id", "left_anti").select("case_id", F.lit("paraphrase_ratified").alias("variant_id"), F.col("draft_text").alias("text"), F.lit("generated=human_ratified_paraphrase").alias("notes"))
+    ordinal = F.col("case_id").cast("long")
+    decided = review.select(ordinal.alias("ordinal"), "case_id", text_hash(F.col("baseline_text")).alias("baseline_sha256"), "draft_text", F.lit("approved").alias("status"), F.when(ordinal % 2 == 0, "read").otherwise("").alias("reviewer_note"))
+    return variants.ratified(decided, A.baselines(spark, sf_dir)).select("case_id", "variant_id", "variant_type", "text", "notes", "problem")
 
 
 def traj_render(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +266,7 @@ def _trajectory(strategy: str) -> Query:
 
 
 def row_fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = A.baselines(spark, sf_dir).select("case_id", F.lit("baseline").alias("variant_id"), F.lit("baseline").alias("variant_type"), F.translate("text", '"\\\t\n\r\b\f', "''     ").alias("text"), "notes")
+    cases = A.baselines(spark, sf_dir).select("case_id", F.lit("baseline").alias("variant_id"), F.lit("baseline").alias("variant_type"), "text", "notes")
     return cases.select("case_id", row_fingerprint(CASE_FIELDS).alias("fingerprint"))
 
 

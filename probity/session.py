@@ -30,10 +30,14 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
 def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once and written where every executor can read it, without its lineage: what it was read from may be replaced.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (one machine) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a temporary one is made on a local master; on a cluster
+    its absence is an error, for executors share no local folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="probity-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="probity-"))
     return df.checkpoint(eager=True)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -16,6 +17,7 @@ from probity.functions import text as T
 from probity.functions.languages import CHINESE, Language
 from probity.operators.audit import VARIANT_TYPES
 from probity.refusals import Refusal, Rule, check, refuse_first
+from probity.sources.tables import numbered
 
 SCORE_COLUMNS = ("system_name", "case_id", "variant_id", "variant_type", "score")
 CASE_COLUMNS = ("case_id", "variant_id", "variant_type", "text")
@@ -47,7 +49,7 @@ def read_text_table(spark: SparkSession, path: str, required: Sequence[str], opt
     def cell(name: str) -> Column:
         return T.strip(F.coalesce(F.col(f"`{names[name]}`"), F.lit(""))) if name in names else F.lit("")
 
-    return raw.select((F.monotonically_increasing_id() + 2).alias("ordinal"), *(cell(c).alias(c) for c in (*required, *optional)))
+    return numbered(raw, "__record", first=2).select(F.col("__record").alias("ordinal"), *(cell(c).alias(c) for c in (*required, *optional)))
 
 
 def number(text: Column) -> Column:
@@ -156,10 +158,10 @@ def read_review(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("baseline_sha256", F.lower("baseline_sha256"))
 
 
-@F.udf(StringType())
-def ten_digits(value: float | None) -> str:
+@F.pandas_udf(StringType())
+def ten_digits(values: pd.Series) -> pd.Series:
     """As C's %.10g; null is empty."""
-    return "" if value is None else f"{value:.10g}"
+    return values.map(lambda v: "" if pd.isna(v) else f"{v:.10g}")
 
 
 def score_layout(scores: DataFrame) -> DataFrame:

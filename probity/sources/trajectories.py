@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probity.refusals import Refusal, refuse_first
+from probity.sources.tables import numbered
 
 STEP = "struct<index:long,tool:string,args:string,result:string,note:string>"
 SCHEMA = f"ordinal long, case_id string, task string, steps array<{STEP}>, final_answer string, load_bearing_steps array<long>, independent_steps array<array<long>>, notes string, problem string"
@@ -128,7 +129,7 @@ def read_trajectories(spark: SparkSession, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" in str(error):
             raise Refusal(f"Trajectory file does not exist: {path}") from error
         raise
-    found = parse_lines(lines.select((F.monotonically_increasing_id() + 1).alias("ordinal"), F.regexp_replace("value", "^﻿", "").alias("value"))).cache()
+    found = parse_lines(numbered(lines, "ordinal").select("ordinal", F.regexp_replace("value", "^﻿", "").alias("value"))).cache()
     refuse_first(found.where("problem is not null").select("ordinal", F.lit(0).alias("rule_no"), F.lit("line").alias("rule_id"), F.col("problem").alias("message")))
     twice = found.groupBy("case_id").agg(F.count("*").alias("n"), F.max("ordinal").alias("ordinal")).where("n > 1")
     refuse_first(twice.select("ordinal", F.lit(0).alias("rule_no"), F.lit("twice").alias("rule_id"), F.concat(F.lit("Duplicate case_id '"), "case_id", F.lit("'.")).alias("message")))
