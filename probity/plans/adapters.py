@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +12,7 @@ from probity.functions.languages import ENGLISH
 from probity.sources.tables import table
 
 #: English without the guards around full stops: its sentence rule is a regular expression, which SQL can state too.
+CHINESE_FROM, CHINESE_TO = ".,!?;0123456789kzqwn", "。，！？；零一二三四五六七八九个次不没因"
 PLAIN = replace(ENGLISH, name="plain", ambiguous="")
 
 
@@ -84,3 +85,8 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at("s", -1)["result"].alias("final_answer"), F.array(F.lit(1).cast("long")).alias("load_bearing_steps"),
         F.array(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("independent_steps"), F.lit("").alias("notes"), F.col("conv_id").alias("ordinal"),
     )
+
+
+def in_chinese(text: Column) -> Column:
+    """A text with the marks, digits and some letters of Chinese, so that its rules have something to find in every document."""
+    return F.translate(text, CHINESE_FROM, CHINESE_TO)

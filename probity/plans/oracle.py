@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from probity.functions.languages import BOUNDARIES, ENGLISH, Language
+from probity.functions.languages import BOUNDARIES, CHINESE, ENGLISH, Labels, Language
 from probity.operators.audit import T_CRITICAL
+from probity.plans.adapters import CHINESE_FROM, CHINESE_TO
 
 SEED, REPEATS = 7, 5
 _T = "[" + ", ".join(f"{t}::double" for t in T_CRITICAL) + "]"
@@ -171,28 +172,43 @@ ex as (select case_id, case when starts_with(text, 'T') then 'by_hand' else vari
 merged as (select case_id, variant_id, case when e.text is null then 'appended' when g.text is null then 'foreign' when g.text = e.text then 'preserved' else 'edited' end as merge_class, coalesce(e.text, g.text) as text
   from gen g full join ex e using (case_id, variant_id))"""
 
-_NEGATIONS = "(" + ", ".join(map(_q, ENGLISH.negations)) + ")"
+def _negations(text: str, language: Language) -> str:
+    if language.word_boundaries:
+        return f"len(list_filter(regexp_extract_all(lower({text}), '[A-Za-z'']+'), lambda w: list_contains({_list(language.negations)}, w)))"
+    return f"len(regexp_extract_all({text}, '{'|'.join(language.negations)}'))"
 
 
-def _negations(text: str) -> str:
-    return f"len(list_filter(regexp_extract_all(lower({text}), '[A-Za-z'']+'), lambda w: w in {_NEGATIONS}))"
+def _numbers(text: str, language: Language) -> str:
+    found = f"regexp_extract_all({text}, '[0-9]+(?:\\.[0-9]+)?')"
+    units = "|".join(sorted(language.measures, key=len, reverse=True))
+    return f"list_concat({found}, regexp_extract_all({text}, '[{language.numerals}]+(?:{units})'))" if language.numerals else found
 
 
-DRAFTS = f"""
-texts as (select doc_id, coalesce(text, '') as text from documents),
+def _drafts(language: Language, as_read: str = "coalesce(text, '')") -> str:
+    return f"""
+texts as (select doc_id, {as_read} as text from documents),
 pairs as (select a.doc_id::varchar as case_id, a.text as baseline_text, coalesce(b.text, '') as draft_text, {_strip("a.text")} as b, {_strip("coalesce(b.text, '')")} as d from texts a left join texts b on b.doc_id = a.doc_id + 1),
-noted as (select *, list_sort(list_distinct(list_filter(regexp_extract_all(b, '[0-9]+(?:\\.[0-9]+)?'), lambda n: not contains(d, n)))) as gone, {_negations("b")} as before, {_negations("d")} as after from pairs),
+noted as (select *, list_sort(list_distinct(list_filter({_numbers("b", language)}, lambda n: not contains(d, n)))) as gone, {_negations("b", language)} as before, {_negations("d", language)} as after from pairs),
 drafts as (select case_id, baseline_text, draft_text,
   case when d = '' then 'empty' else concat_ws('; ', case when d = b then 'identical' when b <> '' and contains(d, b) then 'echoes_baseline' end, case when b <> '' and not (len(d)::double / len(b) between 0.4 and 2.5) then 'length_out_of_band' end) end as blocking_checks,
   case when d = '' then '' else concat_ws('; ', case when len(gone) > 0 then 'numbers missing from the draft: ' || array_to_string(gone, ', ') end, case when before <> after then 'negations changed from ' || before || ' to ' || after end) end as review_notes from noted),
 reviewed as (select *, case when blocking_checks <> '' then 'blocked' else 'pending' end as status from drafts)"""
 
+
+DRAFTS = _drafts(ENGLISH)
+IN_CHINESE = f"translate({{0}}, {_q(CHINESE_FROM)}, {_q(CHINESE_TO)})"
+
 TRAJECTORIES = """
 turns as (select conv_id, turn, role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn, role, coalesce(text, '')) as i, count(*) over (partition by conv_id) as n from conversations),
 steps as (select conv_id::varchar as case_id, i, n, role as tool, '{}' as args, text as result, '' as note from turns where n >= 3)"""
-_L = ENGLISH.labels
-RENDERED = f"""
-select case_id, 'Task: conversation' || chr(10) || chr(10) || string_agg('{_L.step} ' || i || chr(10) || '  {_L.tool}: ' || tool || chr(10) || '  {_L.args}: ' || args || chr(10) || '  {_L.result}: ' || result || chr(10), chr(10) order by i) || chr(10) || '{_L.answer}: ' || arg_max(result, i) as text from steps group by case_id"""
+
+
+def _rendered(words: Labels) -> str:
+    def line(label: str, value: str) -> str:
+        return f"chr(10) || '  {label}{words.mark}' || {value}"
+
+    step = f"'{words.step} ' || i || {line(words.tool, 'tool')} || {line(words.args, 'args')} || {line(words.result, 'result')} || chr(10)"
+    return f"""select case_id, '{words.task}{words.mark}conversation' || chr(10) || chr(10) || string_agg({step}, chr(10) order by i) || chr(10) || '{words.answer}{words.mark}' || arg_max(result, i) as text from steps group by case_id"""
 
 
 def _listed(source: str, strategy: str, family: str, notes: str, problem: str = "null::varchar") -> str:
@@ -259,7 +275,7 @@ select case_id, variant_id, case when a is null then 'reference' else 'candidate
     "ratified_rows": f"""with {DRAFTS}, {BASELINES}, hashed as (select r.case_id, r.draft_text, sha256({_json("r.baseline_text")}) as drafted, sha256({_json("k.text")}) as expected, k.ordinal from reviewed r join baselines k on k.case_id = r.case_id where r.status = 'pending')
 select case_id, 'paraphrase_ratified' as variant_id, 'paraphrase' as variant_type, draft_text as text, 'generated=human_ratified_paraphrase' || case when ordinal % 2 = 0 then ' | reviewer_note=read' else '' end as notes,
   case when drafted <> expected then 'Case ''' || case_id || ''' was edited after its rewrite was drafted; draft it anew.' end as problem from hashed""",
-    "traj_render": f"with {TRAJECTORIES} {RENDERED}",
+    "traj_render": f"with {TRAJECTORIES} {_rendered(ENGLISH.labels)}",
     "traj_redundant_tool_calls": f"""with {TRAJECTORIES}, p as (select *, {_FIRST} as a from steps), q as (select *, i in (a, a % n + 1) as again from p),
 o as (select *, row_number() over (partition by case_id order by i, d) as new_i from (select *, unnest(case when again then [1, 2] else [1] end) as d from q)),
 collapsed as (select case_id, bool_or(tool = pt and result = pr) as twice from (select *, lag(tool) over (partition by case_id order by i) as pt, lag(result) over (partition by case_id order by i) as pr from steps) group by case_id),
@@ -274,3 +290,21 @@ select l.* replace (case when twice then 'redundant_tool_calls changed the seque
 {_listed("o", "reorder_independent_steps", "paraphrase", "'generated=reorder_independent_steps | reordered_groups=[[1, 2]]'", "case when " + _STEP1.format("tool") + " = max(case when i = 2 then tool end) and " + _STEP1.format("result") + " = max(case when i = 2 then result end) then 'reorder_independent_steps moved nothing: the declared steps are the same.' end")}""",
     "row_fingerprint": f"""with {BASELINES} select case_id, sha256('{{"case_id":"' || case_id || '","notes":"","text":' || {_json("text")} || ',"variant_id":"baseline","variant_type":"baseline"}}') as fingerprint from baselines""",
 }
+_PLACES = ("gaming_verbose_padding", "gaming_rubric_flattery", "degradation_remove_evidence", "degradation_unsupported_assertion")
+_TRAJECTORY_PLACES = ("traj_redundant_tool_calls", "traj_padded_reasoning", "traj_remove_load_bearing_step", "traj_hollow_evidence", "traj_reorder_independent_steps")
+# as the query of connectives, without the words that it sets at the front
+_SUBSTITUTED = _connectives().replace("(case ordinal % 3 when 0 then 'However, ' when 1 then 'finally it was. In addition ' else '' end) || text as t0", "text as t0")
+ORACLE_SQL |= {
+    "sentence_split_chinese": f"with {BASELINES}, z as (select case_id, {_sentences(IN_CHINESE.format('text'), CHINESE)} as s from baselines) select case_id, unnest(range(1, len(s) + 1))::bigint as number, unnest(s) as sentence from z",
+    "review_checks_chinese": f"with {_drafts(CHINESE, IN_CHINESE.format("coalesce(text, '')"))} select case_id, blocking_checks, review_notes, status from reviewed",
+    "traj_render_chinese": f"with {TRAJECTORIES} {_rendered(CHINESE.labels)}",
+    "traj_parse": f"""with {TRAJECTORIES} select case_id::bigint as ordinal, case_id, string_agg(i || '|' || tool || '|{{"a": "x", "z": ' || i || '}}|' || result || '|', chr(10) order by i) as steps, 'the answer of ' || case_id as final_answer, null::varchar as problem from steps group by case_id""",
+    "generate_all": f"""with {BASELINES} select ordinal * 6 as row_order, case_id, 'baseline' as variant_id, 'baseline' as variant_type, text, 'generated=baseline' as notes from baselines"""
+    + "".join(f" union all select case_id::bigint * 6 + {k}, case_id, variant_id, variant_type, text, notes from ({ORACLE_SQL[name]})" for k, name in enumerate(_PLACES, 1))
+    + f" union all select case_id::bigint * 6 + 5, case_id, 'paraphrase_connective_substitution', 'paraphrase', text, notes from ({_SUBSTITUTED})",
+    "traj_generate": f"with {TRAJECTORIES} select distinct case_id::bigint * 6 as row_order, case_id, 'baseline' as variant_id, 'baseline' as variant_type, 'generated=trajectory_baseline' as notes, null::varchar as problem from steps"
+    + "".join(f" union all select case_id::bigint * 6 + {k}, case_id, variant_id, split_part(variant_id, '_', 1), notes, problem from ({ORACLE_SQL[name]})" for k, name in enumerate(_TRAJECTORY_PLACES, 1)),
+    "merge_order": f"""with {BASELINES}, {SPLIT}, {MERGED}, placed as (select case_id, variant_id, merge_class = 'foreign' as is_foreign from merged) select *, row_number() over (order by is_foreign, case_id::bigint) as position from placed""",
+    "score_table": f"""with {SCORES} select 'lineitem' as system_name, case_id, variant_id, variant_type, printf('%.10g', score) as score, coalesce(printf('%.10g', score_stddev), '') as score_stddev, sample_count::varchar as sample_count, '' as notes from scores""",
+    "review_table": f"with {DRAFTS} select case_id, sha256({_json('baseline_text')}) as baseline_sha256, baseline_text, draft_text, status, blocking_checks, review_notes, '' as reviewer_note from reviewed",
+}

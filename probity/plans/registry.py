@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from probity.functions import text as T
 from probity.functions.fingerprint import CASE_FIELDS, row_fingerprint, text_hash
-from probity.functions.languages import ENGLISH
+from probity.functions.languages import CHINESE, ENGLISH
 from probity.operators import audit, compare, paraphrase, scoring, trajectory, variants
 from probity.plans import adapters as A
 from probity.plans import oracle
 from probity.refusals import violations
 from probity.session import kept
+from probity.sources import csv_tables, trajectories
 from probity.sources.tables import numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -270,13 +271,65 @@ def row_fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.select("case_id", row_fingerprint(CASE_FIELDS).alias("fingerprint"))
 
 
+def sentence_split_chinese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = A.baselines(spark, sf_dir).withColumn("text", A.in_chinese(F.col("text")))
+    return docs.select("case_id", F.posexplode(T.sentences(F.col("text"), CHINESE)).alias("at", "sentence")).select("case_id", (F.col("at") + 1).cast("long").alias("number"), "sentence")
+
+
+def review_checks_chinese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numerals with measure words, and negations counted wherever they stand."""
+    drafts = A.drafts(spark, sf_dir).withColumns({c: A.in_chinese(F.col(c)) for c in ("baseline_text", "draft_text")})
+    found = paraphrase.checked(drafts, CHINESE)
+    return found.select("case_id", F.array_join("blocking_checks", "; ").alias("blocking_checks"), F.array_join("review_notes", "; ").alias("review_notes"), "status")
+
+
+def traj_render_chinese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = A.trajectories(spark, sf_dir)
+    return cases.select("case_id", trajectory.render(F.col("steps"), F.col("task"), F.col("final_answer"), CHINESE).alias("text"))
+
+
+def traj_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trajectories written as JSON lines and read again: steps numbered, arguments in one order of keys."""
+    steps = F.transform("steps", lambda s: F.struct(F.concat(F.lit(" "), s["tool"]).alias("tool"), F.struct(s["index"].alias("z"), F.lit("x").alias("a")).alias("args"), s["result"].alias("result"), s["note"].alias("note")))
+    line = F.to_json(F.struct("case_id", "task", steps.alias("steps"), F.concat(F.lit("the answer of "), "case_id").alias("final_answer"), "load_bearing_steps", "independent_steps"))
+    found = trajectories.parse_lines(A.trajectories(spark, sf_dir).select(F.col("ordinal"), line.alias("value")))
+    listed = F.array_join(F.transform("steps", lambda s: F.concat_ws("|", s["index"].cast("string"), s["tool"], s["args"], s["result"], s["note"])), "\n")
+    return found.select("ordinal", "case_id", listed.alias("steps"), "final_answer", "problem")
+
+
+def generate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every baseline with all its variants, numbered in file order."""
+    return variants.generate(_split_baselines(spark, sf_dir).drop("sentences"), language=A.PLAIN, paraphrase=variants.PARAPHRASE, seed=SEED).select("row_order", "case_id", "variant_id", "variant_type", "text", "notes")
+
+
+def traj_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.generate(A.trajectories(spark, sf_dir), language=ENGLISH, seed=SEED).select("row_order", "case_id", "variant_id", "variant_type", "notes", "problem")
+
+
+def merge_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each row of a merged file stands: as generated, then foreign rows as in their file."""
+    merged = variants.merge(_generated(spark, sf_dir), _existing(spark, sf_dir))
+    return numbered(kept(merged.orderBy("is_foreign", "at").select("case_id", "variant_id", "is_foreign")), "position")
+
+
+def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score table as it is written: numbers as text with ten significant digits."""
+    return csv_tables.score_layout(A.scores(spark, sf_dir).withColumn("notes", F.lit("")))
+
+
+def review_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of drafts as it is written for review."""
+    checked = paraphrase.checked(A.drafts(spark, sf_dir), ENGLISH)
+    return csv_tables.review_layout(checked.withColumns({"baseline_sha256": text_hash(F.col("baseline_text")), "ordinal": F.col("case_id").cast("long")}))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         audit_findings, audit_case_margins, audit_summary, audit_risk, audit_headroom, audit_uncertainty, audit_nested_cases, evidence_grade, strategy_mean_delta,
         score_row_violations, pairing_violations, duplicate_keys, compare_findings, compare_status_counts, compare_metrics, compare_totals, compare_identity_diff,
         compare_self_consistency, report_order, repeat_aggregate, token_totals, latency_totals, resume_missing, resume_foreign, resume_mismatch, planned_samples,
-        sentence_split, sentence_split_english, merge_classify, merge_origin, review_checks, review_tally, ratified_rows, traj_render,
+        sentence_split, sentence_split_english, sentence_split_chinese, merge_classify, merge_origin, merge_order, review_checks, review_tally, ratified_rows, traj_render, review_checks_chinese, traj_render_chinese, traj_parse, generate_all, traj_generate, score_table, review_table,
     )
 } | {
     "gaming_verbose_padding": _variant("verbose_padding"),
