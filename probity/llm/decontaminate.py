@@ -1,22 +1,21 @@
 """Benchmark decontamination by greedy string tiling.
 
 Benchmark items are cut into seeds of ``SEED_WORDS`` words; a running Karp-Rabin hash over a document's words finds where it
-shares seeds with items. Neighbouring seeds on a diagonal are maximal matches; the longest match is marked again and again, and
-what of the others is still unmarked and long enough stays in play. The marked share of an item's words is its coverage, which
+shares seeds with items. Among the words around them the longest match of unmarked words is found and marked again and again, down to
+the length of a seed; hashes of windows decide, and words confirm. The marked share of an item's words is its coverage, which
 does not depend on the order of the passages, so reordered ones are caught too.
 
 The benchmark is held in memory in chunks of at most ``CHUNK_WORDS`` words; a larger one takes one pass over the documents per
 chunk, so its size is bounded in every pass and no item is left out. Documents are not shuffled.
 
-Defined cases: null texts count as empty; items without words match nothing; items shorter than a seed must occur whole; repeated rows and
+Defined cases: words that repeat without end match as often as the item has them; null texts count as empty; items without words match nothing; items shorter than a seed must occur whole; repeated rows and
 repeated items give a row each; null ids are kept; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from functools import reduce
 
@@ -54,13 +53,15 @@ class Benchmark:
         self.ids = [i for i, _ in items]
         self.vocabulary: dict[str, int] = {}
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(t)], np.uint64) for _, t in items]
-        self.seeds: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        self.seeds: dict[int, dict[int, list[int]]] = {}
+        self.hashes = [np.zeros(0, np.uint64)] * len(self.words)
         for number, words in enumerate(self.words):
             if len(words):
                 length = min(k, len(words))
                 at = self.seeds.setdefault(length, {})
-                for place, h in enumerate(rolling(words, length).tolist()):
-                    at.setdefault(h, []).append((number, place))
+                self.hashes[number] = np.unique(rolling(words, length))
+                for h in self.hashes[number].tolist():
+                    at.setdefault(h, []).append(number)
         self.sorted = {length: np.sort(np.fromiter(at, np.uint64, len(at))) for length, at in self.seeds.items()}
 
     def hits(self, text: str | None) -> Iterator[tuple[int, int, int, int, int]]:
@@ -74,49 +75,87 @@ class Benchmark:
             inside = np.cumsum(np.r_[0, ids == 0])
             places = np.flatnonzero(inside[length:] == inside[:-length])
             h = h[places]
-            found = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-            by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for p, value in zip(places[found].tolist(), h[found].tolist()):
-                for item, q in self.seeds[length][value]:
-                    if (ids[p : p + length] == self.words[item][q : q + length]).all():
-                        by_item[item].append((p, q))
-            for item, pairs in by_item.items():
-                tiles = tile(pairs, length)
-                yield item, sum(tiles), len(self.words[item]), len(tiles), max(tiles)
-
-
-def tile(seeds: list[tuple[int, int]], k: int) -> list[int]:
-    """Lengths of the tiles that greedy string tiling marks, from the places (in the text, in the item) of seeds of ``k`` words."""
-    heap: list[tuple[int, int, int]] = []
-    run: tuple[int, int, int] | None = None  # text place, item place, length
-    for p, q in sorted(seeds, key=lambda s: (s[0] - s[1], s[0])):
-        if run and p - q == run[0] - run[1] and p == run[0] + run[2] - k + 1:
-            run = (run[0], run[1], run[2] + 1)
-        else:
-            if run:
-                heap.append((-run[2], run[0], run[1]))
-            run = (p, q, k)
-    if run:
-        heap.append((-run[2], run[0], run[1]))
-    heapq.heapify(heap)
-    in_text: set[int] = set()
-    in_item: set[int] = set()
-    tiles = []
-    while heap:
-        length, p, q = heapq.heappop(heap)
-        free = [p + d not in in_text and q + d not in in_item for d in range(-length)]
-        if all(free):
-            tiles.append(-length)
-            in_text.update(range(p, p - length))
-            in_item.update(range(q, q - length))
-            continue
-        start = 0
-        for d in range(-length + 1):
-            if d == -length or not free[d]:
-                if d - start >= k:
-                    heapq.heappush(heap, (start - d, p + start, q + start))
-                start = d + 1
-    return tiles
+            shared = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+            places, h = places[shared], h[shared]
+            for item in sorted({item for value in np.unique(h).tolist() for item in self.seeds[length][value]}):
+                own = places[np.isin(h, self.hashes[item])]
+                tiles = tile(*_around(ids, own, length), self.words[item], length)
+                if tiles:
+                    yield item, sum(tiles), len(self.words[item]), len(tiles), max(tiles)
+
+
+def _around(ids: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of a text that windows of ``k`` words at ``places`` cover, with a word of no item between them; and the places there."""
+    covered = np.zeros(len(ids) + 1, bool)
+    for j in range(k):
+        covered[places + j] = True
+    kept = covered.copy()
+    kept[1:] |= covered[:-1]
+    return np.where(covered, np.r_[ids, np.uint64(0)], np.uint64(0))[kept], (np.cumsum(kept) - 1)[places]
+
+
+def _windows(words: np.ndarray, free: np.ndarray, places: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the windows of ``n`` words that begin at ``places`` and are free throughout."""
+    taken = np.cumsum(np.r_[0, ~free])
+    places = places[places + n <= len(words)]
+    places = places[taken[places + n] == taken[places]]
+    if not len(places):
+        return places, np.zeros(0, np.uint64)
+    # hashes of all windows by doubling: those of 2k words are made of two of k
+    out, done, at = np.zeros(len(places), np.uint64), 0, words
+    size, power = 1, _BASE
+    while True:
+        if n & size:
+            out = out * np.uint64(power) + at[places + done]
+            done += size
+        if 2 * size > n:
+            return places, out
+        at = at[:-size] * np.uint64(power) + at[size:]
+        size, power = 2 * size, power * power % (1 << 64)
+
+
+def tile(text: np.ndarray, places: np.ndarray, item: np.ndarray, k: int) -> list[int]:
+    """Lengths of the tiles that greedy string tiling marks, from the places in the text of seeds of ``k`` words.
+
+    The longest match of unmarked words is found by bisection: windows of one length are compared by their Karp-Rabin hashes. All
+    matches of that length are marked from left to right where they are still free, and the search goes on with shorter ones. No
+    pairs of places are listed, so texts of one repeated word cost no more than others.
+    """
+    free_text, free_item = np.ones(len(text), bool), np.ones(len(item), bool)
+    every = np.arange(len(item))
+
+    def common(n: int) -> np.ndarray:
+        return np.intersect1d(_windows(text, free_text, places, n)[1], _windows(item, free_item, every, n)[1])
+
+    tiles: list[int] = []
+    longest = len(item)
+    while True:
+        low, high = k - 1, longest  # a match of low words is known, or low < k
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(common(middle)) else (low, middle - 1)
+        if low < k:
+            return tiles
+        longest = low
+        at, h = _windows(text, free_text, places, low)
+        both = np.isin(h, common(low))
+        waiting: dict[int, deque[int]] = defaultdict(deque)
+        for q, value in zip(*(x.tolist() for x in _windows(item, free_item, every, low))):
+            waiting[value].append(q)
+        marked = False
+        for p, value in zip(at[both].tolist(), h[both].tolist()):
+            if not free_text[p : p + low].all():
+                continue
+            queue = waiting[value]
+            while queue and not free_item[queue[0] : queue[0] + low].all():
+                queue.popleft()
+            if queue and (text[p : p + low] == item[queue[0] : queue[0] + low]).all():
+                q = queue.popleft()
+                free_text[p : p + low] = free_item[q : q + low] = False
+                tiles.append(low)
+                marked = True
+        if not marked:  # only hashes that meet by chance are left at this length
+            longest = low - 1
 
 
 def _chunks(benchmark: DataFrame) -> Iterator[list[tuple[object, str | None]]]:

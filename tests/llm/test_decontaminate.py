@@ -1,4 +1,5 @@
 import random
+import time
 
 from probity.llm import decontaminate as d
 from tests.llm.conftest import WORDS
@@ -66,3 +67,35 @@ def test_empty_tables(spark, docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.contamination(docs, none).count() == 0
     assert d.contamination(no_docs, none.union(spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string"))).count() == 0
+
+
+def test_repeated_words_take_seconds():
+    """A hundred thousand times one word, or two in turn, against items of such."""
+    began = time.perf_counter()
+    bench = d.Benchmark([(0, "same " * 800), (1, "on off " * 400), (2, "same " * 3)])
+    assert {i: rest for i, *rest in bench.hits("same " * 100_000)} == {0: [800, 800, 1, 800], 2: [3, 3, 1, 3]}
+    assert {i: rest for i, *rest in bench.hits("on off " * 50_000)} == {1: [800, 800, 1, 800]}
+    assert time.perf_counter() - began < 20
+
+
+def test_the_whole_query_as_by_brute_force(spark):
+    rng = random.Random(21)
+    items = [" ".join(rng.choice(WORDS) for _ in range(rng.choice([3, 8, 20]))) for _ in range(12)]
+    texts = []
+    for n in range(40):
+        words = [rng.choice(WORDS) for _ in range(rng.randint(0, 30))]
+        for item in rng.sample(items, rng.randint(0, 2)):
+            own = item.split()
+            cut = rng.randrange(len(own))
+            at = rng.randint(0, len(words))
+            words[at:at] = own[cut:] + [rng.choice(WORDS)] * rng.randint(0, 1) + own[:cut]
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["matched_words"], r["tiles"]) for r in d.contamination(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    expected = {}
+    for i, text in enumerate(texts):
+        for k, item in enumerate(items):
+            tiles = greedy(text.split(), item.split(), min(d.SEED_WORDS, len(item.split())))
+            if sum(tiles) >= d.MIN_COVERAGE * len(item.split()):
+                expected[i, k] = (sum(tiles), len(tiles))
+    assert found == expected and len(found) > 10
