@@ -169,6 +169,95 @@ TEXTS = (
     ("eula", "end user licen", 45, r"end user licen[cs]e agreement"),
     ("commercial", "commercial licen", 35, r"commercial licen[cs]e"),
     ("permission", "with permission", 20, r"(?:used|reprinted|reproduced) with permission"),
+    ("mit", "without limitation the rights", 78, r"without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies"),
+    ("mit", "substantial portions", 65, r"shall be included in all copies or substantial portions of the software"),
+    ("mit", "in no event shall the authors", 60, r"in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("isc", "copyright notice and this permission notice", 72, r"provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "author disclaims all warranties", 62, r"the author disclaims all warranties with regard to this software"),
+    ("bsd", "must retain the above copyright", 58, r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "must reproduce the above copyright", 58, r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "and contributors as is", 57, r"this software is provided by the (?:copyright holders|regents) and contributors as is"),
+    ("bsd-4-clause", "this product includes software", 68, r"this product includes software developed by"),
+    ("apache-2.0", "apache org", 82, r"(?:https? )?(?:www )?apache org licenses"),
+    ("apache-2.0", "distributed on an as is basis", 76, r"software distributed under the licen[cs]e is distributed on an as is basis without warranties or conditions of any kind"),
+    ("apache-2.0", "apache software foundation", 79, r"licen[cs]ed to the apache software foundation asf under one or more contributor licen[cs]e agreements"),
+    ("apache", "apache software foundation", 61, r"this product includes software developed (?:by|at) the apache software foundation"),
+    ("gpl", "gnu org", 64, r"gnu org licenses gpl"),
+    ("lgpl", "gnu org", 66, r"gnu org licenses lgpl"),
+    ("agpl-3.0", "gnu org", 67, r"gnu org licenses agpl"),
+    ("gpl", "free software foundation", 56, r"as published by the free software foundation"),
+    ("gpl", "you should have received a copy", 63, r"you should have received a copy of the gnu general public licen[cs]e"),
+    ("lgpl", "you should have received a copy", 71, r"you should have received a copy of the gnu lesser general public licen[cs]e"),
+    ("agpl-3.0", "you should have received a copy", 73, r"you should have received a copy of the gnu affero general public licen[cs]e"),
+    ("gpl-2.0", "version 2 only", 92, r"gnu general public licen[cs]e version 2 only"),
+    ("gpl-2.0", "version 2 as published", 91, r"gnu general public licen[cs]e version 2 as published by the free software foundation"),
+    ("gpl-3.0", "version 3 as published", 91, r"gnu general public licen[cs]e version 3 as published by the free software foundation"),
+    ("gpl-with-classpath-exception", "classpath exception", 93, r"classpath exception"),
+    ("gpl-with-linking-exception", "linking exception", 93, r"(?:static )?linking exception"),
+    ("gpl-with-runtime-exception", "runtime library exception", 93, r"gcc runtime library exception"),
+    ("lgpl", "this library is distributed in the hope", 59, r"this library is distributed in the hope that it will be useful"),
+    ("gpl", "distributed in the hope", 54, r"this program is distributed in the hope that it will be useful but without any warranty"),
+    ("agpl-3.0", "through a computer network", 74, r"users interacting with it remotely through a computer network"),
+    ("mpl-2.0", "mozilla org mpl", 84, r"mozilla org mpl 2 0"),
+    ("mpl-1.1", "subject to the mozilla", 86, r"the contents of this file are subject to the mozilla public licen[cs]e version 1 1"),
+    ("mpl", "incompatible with secondary", 50, r"incompatible with secondary licenses as defined by the mozilla public licen[cs]e"),
+    ("epl-2.0", "eclipse org legal", 85, r"eclipse org legal epl 2 0"),
+    ("epl-1.0", "eclipse org legal", 85, r"eclipse org legal epl v10"),
+    ("cddl-1.0", "common development", 74, r"subject to the terms of the common development and distribution licen[cs]e"),
+    ("cddl", "cddl", 60, r"cddl(?: v ?1(?: [01])?)?"),
+    ("bsl-1.0", "boost org license", 84, r"boost org license 1 0(?: txt)?"),
+    ("unlicense", "unlicense org", 82, r"unlicense org"),
+    ("unlicense", "relinquishment in perpetuity", 80, r"an overt act of relinquishment in perpetuity of all present and future rights"),
+    ("wtfpl", "everyone is permitted", 70, r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document"),
+    ("gpl", "everyone is permitted", 52, r"everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document but changing it is not allowed"),
+    ("zlib", "altered source versions", 70, r"altered source versions must be plainly marked as such"),
+    ("zlib", "origin of this software", 70, r"the origin of this software must not be misrepresented"),
+    ("ofl-1.1", "scripts sil org", 80, r"scripts sil org ofl"),
+    ("ofl-1.1", "reserved font name", 78, r"with reserved font names?"),
+    ("psf-2.0", "python software foundation", 66, r"python software foundation all rights reserved"),
+    ("artistic", "freely available means", 52, r"freely available means that no fee is charged for the item itself"),
+    ("ncsa", "to deal with the software", 64, r"permission is hereby granted .{1,80}? to deal with the software without restriction"),
+    ("postgresql", "without a written agreement", 74, r"for any purpose without fee and without a written agreement is hereby granted"),
+    ("openssl", "openssl project", 76, r"this product includes software developed by the openssl project"),
+    ("ssleay", "cryptsoft", 76, r"this product includes cryptographic software written by eric young"),
+    ("curl", "used in advertising", 48, r"shall not be used in advertising or otherwise to promote the sale use or other dealings in this software"),
+    ("json", "for good not evil", 88, r"the software shall be used for good not evil"),
+    ("beerware", "beer", 82, r"you can buy me a beer in return"),
+    ("beerware", "beerware", 80, r"the beerware licen[cs]e"),
+    ("cc0-1.0", "creativecommons org", 92, r"creativecommons org publicdomain zero 1 0"),
+    ("cc-pdm-1.0", "creativecommons org", 92, r"creativecommons org publicdomain mark 1 0"),
+    ("cc-by-nc-nd", "creativecommons org", 91, r"creativecommons org licenses by nc nd [1-4] [05]"),
+    ("cc-by-nc-sa", "creativecommons org", 91, r"creativecommons org licenses by nc sa [1-4] [05]"),
+    ("cc-by-nc", "creativecommons org", 90, r"creativecommons org licenses by nc [1-4] [05]"),
+    ("cc-by-nd", "creativecommons org", 90, r"creativecommons org licenses by nd [1-4] [05]"),
+    ("cc-by-sa", "creativecommons org", 90, r"creativecommons org licenses by sa [1-4] [05]"),
+    ("cc-by", "creativecommons org", 89, r"creativecommons org licenses by [1-4] [05]"),
+    ("cc-by-sa", "compartir", 72, r"(?:creative commons )?(?:reconocimiento|atribución) compartir ?igual(?: [1-4] [05])?"),
+    ("cc-by-nc", "no comercial", 71, r"(?:creative commons )?(?:reconocimiento|atribución) no comercial(?: [1-4] [05])?"),
+    ("cc-by-sa", "weitergabe unter gleichen", 72, r"namensnennung weitergabe unter gleichen bedingungen(?: [1-4] [05])?"),
+    ("cc-by-nc", "namensnennung nicht kommerziell", 71, r"namensnennung nicht kommerziell(?: [1-4] [05])?"),
+    ("cc-by-sa", "partage dans les mêmes", 72, r"attribution partage dans les mêmes conditions(?: [1-4] [05])?"),
+    ("cc-by-nc", "pas d utilisation commerciale", 71, r"attribution pas d utilisation commerciale(?: [1-4] [05])?"),
+    ("gpl", "licencia pública general", 66, r"licencia pública general (?:de )?gnu"),
+    ("gpl", "licence publique générale", 66, r"licence publique générale (?:de )?gnu"),
+    ("gpl", "öffentliche lizenz", 66, r"(?:gnu )?allgemeine öffentliche lizenz"),
+    ("public-domain", "dominio público", 50, r"(?:en|de|al) (?:el )?dominio público"),
+    ("public-domain", "domaine public", 50, r"(?:dans le|du|au) domaine public"),
+    ("public-domain", "gemeinfrei", 50, r"gemeinfrei(?:e[mnrs]?)?"),
+    ("proprietary", "confidential information of", 46, r"contains confidential information of"),
+    ("proprietary", "trade secret", 44, r"trade secrets? of"),
+    ("no-derivatives", "no derivative works", 36, r"no derivative works (?:are |may be )?(?:permitted|allowed|made)"),
+    ("no-redistribution", "may not be redistributed", 42, r"(?:it )?may not be redistributed(?: without (?:prior )?(?:written )?permission)?"),
+    ("personal-use", "personal", 38, r"for (?:your )?personal (?:and )?(?:non commercial )?use only"),
+    ("educational-use", "educational", 37, r"for educational (?:use|purposes) only"),
+    ("fair-use", "fair use", 22, r"(?:under|as|constitutes) fair use"),
+    ("crown-copyright", "crown copyright", 48, r"© ?crown copyright"),
+    ("us-government-work", "work of the", 48, r"work of the (?:united states|u s) government"),
+    ("free-to-copy", "may be freely", 24, r"may be freely (?:copied|reproduced|distributed)"),
+    ("reproduction-prohibited", "no part of this", 41, r"no part of this (?:publication|work|book|document) may be reproduced"),
+    ("reproduction-prohibited", "prohibited", 41, r"(?:unauthorized )?reproduction (?:is )?(?:strictly )?prohibited"),
+    ("reproduction-prohibited", "toute reproduction", 41, r"toute reproduction (?:même partielle )?(?:est )?interdite"),
+    ("reproduction-prohibited", "prohibida la reproducción", 41, r"prohibida la reproducción(?: total o parcial)?"),
     ("unknown-license", "see licen", 15, r"see licen[cs]e(?: (?:file|txt|md))? for details"),
     ("unknown-license", "ed under", 10, r"licen[cs]ed under"),
 )
@@ -194,7 +283,7 @@ def rules() -> tuple[tuple[Rule, ...], ahocorasick.Automaton, dict[str, list[int
     """The rules by falling priority, the automaton of their keywords, and the rules of each keyword."""
 
     def compiled(label: str, keyword: str, priority: int, pattern: str) -> Rule:
-        return Rule(label, " ".join(re.findall(r"[0-9a-z]+|[^\x00-\x7f]+", keyword)), priority, re.compile(rf"(?<!\S)(?:{pattern})(?!\S)"))
+        return Rule(label, " ".join(re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", keyword)), priority, re.compile(rf"(?<!\S)(?:{pattern})(?!\S)"))
 
     found = [compiled(label, keyword, NAME_PRIORITY, pattern) for label, keyword, pattern in NAMES]
     found += [compiled(label, keyword, GRANT_PRIORITY, _GRANT + f"(?:{pattern})") for label, keyword, pattern in NAMES]
