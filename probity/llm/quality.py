@@ -6,7 +6,7 @@ threshold. Only the text is an input of a score.
 
 Defined cases: a null text counts as empty; empty texts have zero features and get a finite score; repeated rows are scored
 each; documents with a null id are scored but never learned from; labels that are null count as no label; a document labelled
-both ways takes part on both sides; without labels of both kinds every weight is zero and every score 0.5; empty tables give
+both ways takes part on both sides; of rows that repeat a labelled id the smallest text is learned from; without labels of both kinds every weight is zero and every score 0.5; empty tables give
 empty results; other columns are passed through by ``classify`` and ignored by the query.
 """
 
@@ -105,9 +105,10 @@ def labelled_sample(labels: DataFrame, rows: int, id_col: str = "doc_id", label_
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> PairwiseModel:
-    """Learn from at most ``sample_rows`` labelled documents; the driver gets their feature vectors only."""
+    """Learn from one text of each of at most ``sample_rows`` labelled ids; the driver gets their feature vectors only."""
     sample = labelled_sample(labels, sample_rows, id_col, label_col)
-    found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id").select("__id", "__label", "__text")
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(sample), "__id")
+    found = texts.groupBy("__id", "__label").agg(F.min("__text").alias("__text"))  # as many rows as the sample has, whatever repeats
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
