@@ -68,6 +68,7 @@ def build_parser() -> argparse.ArgumentParser:
         g.add_argument("--degradation", default=",".join(families.DEGRADATION))
         g.add_argument("--paraphrase", default="" if name == "generate" else ",".join(families.PARAPHRASE))
         g.add_argument("--seed", type=int, default=0)
+        g.add_argument("--draws", choices=("seeded", "hashed"), default="seeded", help="one generator over all cases in order, or a hash of each case, for large sets")
         g.add_argument("--language", choices=sorted(LANGUAGES), default="chinese")
         g.add_argument("--manifest")
         g.add_argument("--append", action="store_true")
@@ -116,7 +117,7 @@ def run(args: argparse.Namespace, spark=None) -> list[str]:
             return runs.show_sentences(spark, args.input, args.language) if args.command == "generate" else runs.show_steps(spark, args.input)
         if not args.output:
             raise Refusal("--output is required.")
-        common = {"language": args.language, "seed": args.seed, "gaming": _names(args.gaming), "degradation": _names(args.degradation), "paraphrases": _names(args.paraphrase), "manifest": args.manifest, "append": args.append}
+        common = {"language": args.language, "seed": args.seed, "gaming": _names(args.gaming), "degradation": _names(args.degradation), "paraphrases": _names(args.paraphrase), "manifest": args.manifest, "append": args.append, "draws": args.draws}
         if args.command == "generate":
             r = runs.run_generate(spark, args.input, args.output, review=args.paraphrase_review, review_manifest=args.paraphrase_manifest, **common)
         else:

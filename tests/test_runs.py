@@ -6,6 +6,7 @@ import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
 from probity import cli
 from probity.functions import reports
@@ -389,3 +390,26 @@ def test_replies_are_read_strictly():
         with pytest.raises(ProviderError, match=why):
             parse_score(text, 0, 10)
     assert [token_count(x) for x in (None, "12", 3.9, "x", [], float("inf"))] == [None, 12, 3, None, None, None]
+
+
+def test_hashed_draws_and_own_strategies(spark, tmp_path):
+    """Picks by hash need no list of cases; a registered strategy is used like a built-in one."""
+    source = table(tmp_path / "b.csv", ("case_id", "text", "evidence_sentences", "notes"), BASELINES)
+    command(spark, "generate", "--input", source, "--output", tmp_path / "cases.csv", "--draws", "hashed")
+    m = json.loads((tmp_path / "cases.manifest.json").read_text())
+    assert m["draws"] == "hashed" and (m["row_count"], m["case_count"]) == (10, 2)
+    from probity.operators import variants
+
+    def shouting(language):
+        return variants.Built(F.concat("text", F.lit("！")), F.array(F.lit("！")), F.lit("marks=1"), [("added nothing", F.col("produced") == F.col("text"))])
+
+    variants.register("shouting", variants.Strategy("gaming", shouting))
+    try:
+        command(spark, "generate", "--input", source, "--output", tmp_path / "own.csv", "--gaming", "shouting")
+        rows = list(csv.DictReader((tmp_path / "own.csv").open(encoding="utf-8")))
+        assert [r["text"] for r in rows if r["variant_id"] == "gaming_shouting"] == [b[1] + "！" for b in BASELINES]
+        for name, family in (("rubric_flattery", "gaming"), ("x", "other")):
+            with pytest.raises(Refusal):
+                variants.register(name, variants.Strategy(family, shouting))
+    finally:
+        variants._OWN.clear()
