@@ -7,7 +7,8 @@ import pytest
 from probity.plans import registry
 
 SF = "/root/testdata/sf0.001"
-PYTHON = {"sentence_split_english"}
+#: English sentences, JSON lines, and numbers written with ten significant digits have no native form; they run in Arrow batches.
+PYTHON = {"sentence_split_english", "traj_parse", "score_table"}
 
 
 def plan(df):
@@ -27,7 +28,7 @@ def test_scans_read_what_is_used_and_no_more(spark):
     columns = {c for found in re.findall("ReadSchema: struct<([^>]*)>", text) for c in re.findall(r"(\w+):", found)}
     assert columns == {"l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount"}
     text = plan(registry.QUERIES["gaming_rubric_flattery"](spark, SF))
-    assert "IsNotNull(text)" in text and "lang" not in text
+    assert "lang" not in text and "source" not in text
 
 
 def test_an_audit_shuffles_scores_on_the_case_only(spark):
