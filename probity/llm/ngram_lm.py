@@ -1,13 +1,12 @@
 """Language-model scores by stupid backoff, from n-gram counts over all documents.
 
-The plan is a relational join whose rows are packed. (1) Words are counted; the most frequent, at most ``BOOK`` of them, get numbers by
-which n-grams are written in little room: a code, which changes no count. (2) Documents are read in batches of about ``BATCH_TOKENS``
+The plan is a relational join whose rows are packed. (1) Of the words that a batch holds ``FREQUENT`` times or more the most frequent, at
+most ``BOOK``, get numbers by which n-grams are written in little room: a code, which changes no count. (2) Documents are read in batches of about ``BATCH_TOKENS``
 words; the distinct n-grams of a batch go to count tables partitioned by a hash of the n-gram, as sorted keys with counts.
 (3) Each table adds up its rows and sends every batch the total counts of the n-grams that it asked for, in its order, so keys
 travel once. (4) A batch joins the counts with the n-grams of its documents and sums the scores per document.
 
-A frequent n-gram is one entry per batch, and numbered words are counted in step 1 alone, so no table grows with a word's frequency;
-the number of tables grows with the input (``TABLE_BYTES`` of text each), so a table fits in a worker at any size. N-grams that hold a
+A frequent n-gram is one entry per batch, so no table grows with a word's frequency; the number of tables grows with the input (``TABLE_BYTES`` of text each), so a table fits in a worker at any size. N-grams that hold a
 word without a number, or more than three words, are known by 63 bits of hash.
 
 score(w | h) = C(hw) / C(h) where C(hw) >= ``min_count``, else ``ALPHA`` times the score given h without its first word; with no
@@ -34,8 +33,8 @@ from probity.llm.words import lowered, mixed, words_in
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 BATCH_TOKENS, TABLE_BYTES, LEAST_BITS = 1_000_000, 8_000_000, 6
-#: Words with numbers: 16 bytes each on the driver and in a worker.
-BOOK_BITS = 18
+#: Words with numbers, 16 bytes each on the driver and in a worker.
+BOOK_BITS, FREQUENT = 18, 4
 BOOK = 1 << BOOK_BITS
 _A, _B, _HASHED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(1 << 63)
 _KEYS = "kind int, part long, batch long, keys binary, counts binary"
@@ -68,12 +67,10 @@ def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Book:
-    """Words with numbers, by falling count; ``counts`` are those of the whole corpus."""
+    """Words with numbers, by falling count."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.lexsort((hashes, -counts))
-        self.counts = counts[order]
-        self.hashes = hashes[order]
+        self.hashes = hashes[np.lexsort((hashes, -counts))]
         self.number = np.argsort(self.hashes)
         self.sorted = self.hashes[self.number]
 
@@ -91,15 +88,14 @@ class Book:
 
 
 def grams(codes: np.ndarray, others: np.ndarray, book: np.ndarray, ends: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For k = 1 .. order: the keys of all k-grams that are counted by tables, and the place of the last word of each."""
+    """For k = 1 .. order: the keys of all k-grams, and the place of the last word of each."""
     n = len(codes)
     position = np.arange(n) - np.repeat(np.r_[0, ends[:-1]], np.diff(np.r_[0, ends])) if n else np.zeros(0, np.int64)
     outside = codes >= BOOK
     hashes = np.empty(n, np.uint64)
     hashes[outside] = others[codes[outside] - BOOK]
     hashes[~outside] = book[codes[~outside]]
-    places = [np.flatnonzero(outside)]
-    keys = [hashes[outside] | _HASHED]
+    places, keys = [np.arange(n)], [np.where(outside, hashes | _HASHED, codes.astype(np.uint64))]
     rolled, packed, odd = hashes, codes.astype(np.uint64), outside
     for k in range(2, order + 1):
         if n < k:
@@ -118,14 +114,11 @@ def grams(codes: np.ndarray, others: np.ndarray, book: np.ndarray, ends: np.ndar
     return keys, places
 
 
-def _dealt(keys: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The different keys, their counts, which of them each n-gram has, and their order: by table, then by key."""
-    different, place, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+def _by_table(different: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted keys by table, then by key; and the tables in that order."""
     tables = (mixed(different * _A) >> np.uint64(64 - bits)).astype(np.int64)
     order = np.argsort(tables, kind="stable")
-    rank = np.empty_like(order)
-    rank[order] = np.arange(len(order))
-    return different[order], counts[order], rank[place], tables[order]
+    return order, tables[order]
 
 
 def _batches(parts: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -147,14 +140,15 @@ def _batches(parts: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[pa.A
 
 
 def count_words(source: DataFrame) -> DataFrame:
-    """(word, n): the hash and count of every word that occurs twice or more."""
+    """(word, n): the hash of every word that a batch holds ``FREQUENT`` times or more, and how often such batches hold it."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, hashes, _ in _batches(parts, BATCH_TOKENS):
             different, counts = np.unique(hashes, return_counts=True)
-            yield pa.record_batch({"word": pa.array(different.view(np.int64)), "n": pa.array(counts.astype(np.int64))})
+            often = counts >= FREQUENT
+            yield pa.record_batch({"word": pa.array(different[often].view(np.int64)), "n": pa.array(counts[often].astype(np.int64))})
 
-    return source.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    return source.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(source: DataFrame) -> Book:
@@ -185,7 +179,10 @@ def score_documents(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA
         for number, (known, hashes, ends) in enumerate(_batches(parts, batch_tokens)):
             codes, others = book.value.codes(hashes)
             del hashes
-            keys, counts, _, tables = _dealt(grams(codes, others, book.value.hashes, ends, order)[0], bits)
+            keys, counts = np.unique(np.concatenate(grams(codes, others, book.value.hashes, ends, order)[0]), return_counts=True)
+            place, tables = _by_table(keys, bits)
+            keys, counts = keys[place], counts[place]
+            del place
             batch = base + number
             sink = pa.BufferOutputStream()
             row = pa.record_batch({"doc_id": known, "end": pa.array(ends.astype(np.int64))})
@@ -242,22 +239,24 @@ def score_documents(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA
             row = pa.ipc.open_stream(about).read_all()
             ends = row.column("end").to_numpy()
             keys, places = grams(codes, others, book.value.hashes, ends, order)
-            different, _, place, _ = _dealt(keys, bits)
-            totals = np.concatenate([_unzip(r, np.uint64) for r in replies] or [np.zeros(0, np.uint64)]).astype(np.float64)
-            if len(totals) != len(different):
-                raise RuntimeError(f"batch {now}: {len(totals)} counts for {len(different)} n-grams")
+            different, place = np.unique(np.concatenate(keys), return_inverse=True)
+            del keys
+            found = np.concatenate([_unzip(r, np.uint64) for r in replies] or [np.zeros(0, np.uint64)])
+            replies.clear()
+            if len(found) != len(different):
+                raise RuntimeError(f"batch {now}: {len(found)} counts for {len(different)} n-grams")
+            totals = np.empty(len(different))
+            totals[_by_table(different, bits)[0]] = found
+            del different, found
             logs = np.log(np.maximum(totals, 1.0))
             n = len(codes)
             begin = np.r_[0, ends[:-1]] if len(ends) else np.zeros(0, np.int64)
             position = np.arange(n) - np.repeat(begin, np.diff(np.r_[0, ends])) if n else np.zeros(0, np.int64)
             fullest = np.minimum(position + 1, order)
-            alone = np.zeros(n)  # log C of each word
-            numbered = codes < BOOK
-            alone[numbered] = np.log(book.value.counts[codes[numbered]])
-            alone[places[0]] = logs[place[: len(places[0])]]
+            alone = logs[place[:n]]  # log C of each word
             value = alone + (fullest - 1) * math.log(alpha)
             whole, bare = fullest == 1, np.ones(n)
-            at, history = len(places[0]), alone  # log C of the history that is one word shorter than the n-gram
+            at, history = n, alone  # log C of the history that is one word shorter than the n-gram
             for k, p in enumerate(places[1:], start=2):
                 here = place[at : at + len(p)]
                 at += len(p)
