@@ -32,7 +32,7 @@ from probity.llm.common import byte_slices, bytes_of, checkpointed, partitions_f
 from probity.llm.words import lowered, mixed, words_in
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
-BATCH_TOKENS, TABLE_BYTES, LEAST_BITS = 1_000_000, 8_000_000, 6
+BATCH_TOKENS, TABLE_BYTES, LEAST_BITS = 1_000_000, 16_000_000, 6
 #: Words with numbers, 16 bytes each on the driver and in a worker.
 BOOK_BITS, FREQUENT = 18, 4
 BOOK = 1 << BOOK_BITS
@@ -115,8 +115,12 @@ def grams(codes: np.ndarray, others: np.ndarray, book: np.ndarray, ends: np.ndar
 
 
 def _by_table(different: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of sorted keys by table, then by key; and the tables in that order."""
-    tables = (mixed(different * _A) >> np.uint64(64 - bits)).astype(np.int64)
+    """The order of sorted keys by table, then by key; and the tables in that order.
+
+    A hash says its table by its first bits, so that the hashes of a table lie close together and their steps take less room.
+    """
+    spread = np.where(different & _HASHED != 0, different << np.uint64(1), mixed(different * _A))
+    tables = (spread >> np.uint64(64 - bits)).astype(np.int64)
     order = np.argsort(tables, kind="stable")
     return order, tables[order]
 
@@ -189,7 +193,7 @@ def score_documents(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA
             with pa.ipc.new_stream(sink, row.schema) as writer:
                 writer.write_batch(row)
             document = _zip(codes.astype(np.uint32))
-            rows = [(1, batch, batch, len(document).to_bytes(8, "little") + document + others.tobytes(), sink.getvalue().to_pybytes())]
+            rows = [(1, batch, batch, len(document).to_bytes(8, "little") + document + _zip(np.diff(others, prepend=np.uint64(0))), sink.getvalue().to_pybytes())]
             cuts = np.flatnonzero(np.r_[True, tables[1:] != tables[:-1]]) if len(keys) else np.zeros(0, np.int64)
             for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
                 steps = np.diff(keys[lo:hi], prepend=np.uint64(0))
@@ -235,7 +239,7 @@ def score_documents(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA
                 return
             packed, about = document
             cut = 8 + int.from_bytes(packed[:8], "little")
-            codes, others = _unzip(packed[8:cut], np.uint32).astype(np.int64), np.frombuffer(packed[cut:], np.uint64)
+            codes, others = _unzip(packed[8:cut], np.uint32).astype(np.int64), np.cumsum(_unzip(packed[cut:], np.uint64), dtype=np.uint64)
             row = pa.ipc.open_stream(about).read_all()
             ends = row.column("end").to_numpy()
             keys, places = grams(codes, others, book.value.hashes, ends, order)
