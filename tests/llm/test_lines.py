@@ -1,6 +1,9 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
+
 from probity.llm import lines
 
 
@@ -104,7 +107,10 @@ def brute_all(rows, least=lines.MIN_DOCS):
     return out
 
 
-def test_lines_and_runs_as_by_brute_force(spark):
+@pytest.mark.parametrize("held", [lines.BROADCAST_HITS, 0])
+def test_lines_and_runs_as_by_brute_force(spark, monkeypatch, held):
+    """With hit lines broadcast to the texts, and with texts shuffled to them."""
+    monkeypatch.setattr(lines, "BROADCAST_HITS", held)
     rng = random.Random(11)
     words = [f"w{chr(97 + a)}{chr(97 + b)}" for a in range(20) for b in range(20)]
     passages = [[rng.choice(words) for _ in range(rng.choice([49, 50, 51, 70, 130]))] for _ in range(8)]
@@ -129,8 +135,6 @@ def test_lines_and_runs_as_by_brute_force(spark):
 def test_places_of_tokens_do_not_depend_on_the_slice():
     texts = ["a b\nhttp://x y:/ / z", "", "://", "//a @b 7\r\n c", "é 漢 字\x0b1"]
     raw = [t.encode() for t in texts]
-    import numpy as np
-
     together = lines.Parsed(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     at = 0
     for number, line in ((k, n) for k, t in enumerate(raw) for n, line in enumerate(t.split(b"\n")) if line.split()):
