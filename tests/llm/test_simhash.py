@@ -93,6 +93,31 @@ def test_links_span_all_components(spark, monkeypatch):
         assert {f: find(f) for f in fps} == expected
 
 
+def test_cut_cells_span_the_same_components(monkeypatch):
+    """The threshold is read in this process here, not by Python workers."""
+    fps = cluster(random.Random(5), 60)
+    fps += [f ^ 3 << k for f in fps for k in (0, 20, 62) if f >> k & 3 in (1, 2)]  # popcounts alike, bits not
+    fps = np.array(sorted(set(fps)), np.uint64)
+    keys, exact = (x.ravel() for x in s.cells(fps))
+    every = np.repeat(fps, 20)
+    order = np.lexsort((every, exact, keys))
+    expected, counts = components(fps.tolist()), []
+    for whole in (2048, 2):
+        monkeypatch.setattr(s, "WHOLE_CELL", whole)
+        a, b = (np.concatenate(x).tolist() for x in s._edges_of(keys[order], exact[order], every[order]))
+        root = {f: f for f in fps.tolist()}
+
+        def find(f):
+            return f if root[f] == f else find(root[f])
+
+        for x, y in zip(a, b):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+        assert {f: find(f) for f in fps.tolist()} == expected
+        counts.append(len(a))
+    assert counts[0] > counts[1]
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, i) for i in range(501, 560)] + [(700, 700)]
     found = {r["node"]: r["root"] for r in s.components(spark.createDataFrame(edges, "a long, b long")).collect()}
