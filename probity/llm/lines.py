@@ -8,7 +8,8 @@ lines are dropped from all documents but the first (smallest id), so every text
 more also has a template of its exact tokens, which recurs from ``RUN_DOCS`` documents on.
 
 The paths are hashed and counted by partial aggregation, so one very common line is one row per task; the join that carries the
-counts back can be split by adaptive execution, because nothing above it needs a template's rows together.
+counts back can be split by adaptive execution, because nothing above it needs a template's rows together. Half-runs (below) are
+counted and joined with them: the texts are read once to count and once to join.
 
 What the lines leave is searched for runs: ``RUN`` words in a row, anywhere within a line, that ``RUN_DOCS`` documents share are cut
 out of all documents but the first. From every ``RUN`` words the half-runs of least hash are taken (winnowing), so a shared run
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
@@ -46,8 +48,6 @@ LEAST_BYTES = 24
 RUN, HALF, RUN_DOCS = 50, 25, 2
 #: Hit lines (in all documents) up to which they are broadcast to the texts, about 50 MB; beyond, the texts are shuffled to them.
 BROADCAST_HITS = 500_000
-_MARK = np.zeros(256, bool)
-_MARK[list(b"0123456789@")] = True
 _VARIABLE, _JOIN = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 
 
@@ -57,26 +57,28 @@ class Parsed:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.starts, self.ends, self.tokens = words_in(data, offsets)
         breaks = np.flatnonzero(data == 10)
-        of_text = np.searchsorted(offsets, self.starts, "right") - 1
-        self.line_of = np.searchsorted(breaks, self.starts) + of_text  # counted through all texts
+        of_text = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(self.starts, offsets)))
+        before = np.bincount(np.searchsorted(self.starts, breaks), minlength=len(self.starts) + 1)
+        self.line_of = np.cumsum(before[:-1]) + of_text  # counted through all texts
         self.first = np.flatnonzero(np.diff(self.line_of, prepend=-1))
         self.n = np.diff(np.append(self.first, len(self.starts)))
         self.text = of_text[self.first]
         self.number = self.line_of[self.first] - np.searchsorted(breaks, offsets[self.text]) - self.text
         self.variable = np.zeros(len(self.starts), bool)
-        marks = np.flatnonzero(_MARK[data])
+        marks = np.flatnonzero((data - np.uint8(48) < 10) | (data == 64))  # digits and @
         self.variable[np.searchsorted(self.starts, marks, "right") - 1] = True
-        scheme = np.flatnonzero((data[:-2] == 58) & (data[1:-1] == 47) & (data[2:] == 47)) if len(data) > 2 else marks[:0]
+        scheme = np.flatnonzero(data[:-2] == 58)
+        scheme = scheme[(data[scheme + 1] == 47) & (data[scheme + 2] == 47)]
         at = np.searchsorted(self.starts, scheme, "right") - 1
         self.variable[at[scheme + 2 < self.ends[at]]] = True
 
-    def templates(self) -> tuple[np.ndarray, np.ndarray]:
+    def templates(self, sums: Sums | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(line, template): the last bit of a template says that it is the exact one of a long line."""
         n, first, line = self.n, self.first, np.arange(len(self.n))
         last = first + n
         if not len(n):
             return line, np.zeros(0, np.uint64)
-        exact = Sums(self.tokens)
+        exact = sums or Sums(self.tokens)
         variable = np.add.reduceat(self.variable.astype(np.int64), first)
         masked = (n >= MIN_TOKENS) & (variable > 0) & (2 * variable <= n)
         sums = exact
@@ -131,59 +133,59 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("row_key"))
 
 
-def _paths(keyed: DataFrame, places: bool) -> DataFrame:
-    """With ``places`` a row for every template of every line (template, doc_id, row_key, line); else one per template and document."""
-    schema = keyed.select("doc_id", *(["row_key"] if places else [])).schema.add("template", "long")
-    if places:
-        schema = schema.add("line", "integer")
+def _hashes(keyed: DataFrame, places: bool) -> DataFrame:
+    """The templates of all lines and the least half-runs of long ones, of one pass over the texts.
+
+    With ``places`` a row for each in its line (hash, doc_id, row_key, line), the lines of half-runs as -1 - line. Else a row for each
+    template of a document (hash, doc_id), and one for each half-run of a line (hash, own), where ``own`` is the hash of the line.
+    """
+    schema = StructType().add("hash", "long").add("doc_id", keyed.schema["doc_id"].dataType)
+    schema = schema.add("row_key", "long").add("line", "integer") if places else schema.add("own", "long")
     names = list(schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "text"):
             parsed = Parsed(*bytes_of(part.column("text")))
-            line, found = parsed.templates()
+            sums = Sums(parsed.tokens)
+            line, found = parsed.templates(sums)
+            at, low = parsed.least(sums)
+            long = np.searchsorted(parsed.first, at, "right") - 1
+            new = np.r_[True, (low[1:] != low[:-1]) | (long[1:] != long[:-1])] if len(low) else np.zeros(0, bool)
+            long, low = long[new], low[new]
             text = parsed.text[line]
-            if not places:
+            if places:
+                number = np.concatenate([parsed.number[line], -1 - parsed.number[long]]).astype(np.int32)
+                take = pa.array(np.concatenate([text, parsed.text[long]]))
+                columns = [part.column("doc_id").take(take), part.column("row_key").take(take), pa.array(number)]
+            else:
                 order = np.lexsort((found, text))
                 text, found = text[order], found[order]
                 new = np.r_[True, (text[1:] != text[:-1]) | (found[1:] != found[:-1])] if len(text) else np.zeros(0, bool)
                 text, found = text[new], found[new]
-            columns = [part.column(c).take(pa.array(text)) for c in ("doc_id", "row_key")[: 1 + places]]
-            yield pa.RecordBatch.from_arrays([*columns, _signed(found), *([pa.array(parsed.number[line].astype(np.int32))] if places else [])], names=names)
+                half = np.r_[np.zeros(len(found), bool), np.ones(len(low), bool)]
+                own = np.concatenate([np.zeros(len(found), np.uint64), parsed.exact(sums)[long]]).view(np.int64)
+                columns = [part.column("doc_id").take(pa.array(np.concatenate([text, long]), mask=half)), pa.array(own, mask=~half)]
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate([found, low])), *columns], names=names)
 
     return keyed.mapInArrow(run, schema)
 
 
-def recurring(keyed: DataFrame, min_docs: int = MIN_DOCS, run_docs: int = RUN_DOCS) -> DataFrame:
-    """(template, first_doc) of the templates that at least ``min_docs`` documents share, or ``run_docs`` if it is a long line's own."""
-    counted = _paths(keyed, places=False).groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
-    return counted.where(F.col("n") >= F.when(F.col("template") % 2 == 0, min_docs).otherwise(run_docs)).select("template", "first_doc")
+def found_in(keyed: DataFrame, min_docs: int = MIN_DOCS, run_docs: int = RUN_DOCS) -> DataFrame:
+    """(doc_id, row_key, line, half): the lines that recurring templates drop, half null, and the half-runs that different lines share.
 
-
-def _half_runs(keyed: DataFrame, places: bool) -> DataFrame:
-    """The least half-runs of each long line: (half, hash), or with ``places`` (doc_id, row_key, half, line)."""
-    schema = keyed.select("doc_id", "row_key").schema.add("half", "long").add("line", "integer") if places else "half long, hash long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in byte_slices(batches, "text"):
-            parsed = Parsed(*bytes_of(part.column("text")))
-            sums = Sums(parsed.tokens)
-            at, low = parsed.least(sums)
-            line = np.searchsorted(parsed.first, at, "right") - 1
-            new = np.r_[True, (low[1:] != low[:-1]) | (line[1:] != line[:-1])] if len(low) else np.zeros(0, bool)
-            line, low = line[new], low[new]
-            if places:
-                text = pa.array(parsed.text[line])
-                columns = [part.column("doc_id").take(text), part.column("row_key").take(text), _signed(low), pa.array(parsed.number[line].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "half", "line"])
-            else:
-                yield pa.record_batch({"half": _signed(low), "hash": _signed(parsed.exact(sums)[line])})
-
-    return keyed.mapInArrow(run, schema)
+    A template recurs if ``min_docs`` documents share it, or ``run_docs`` if it is a long line's own.
+    """
+    counted = _hashes(keyed, False).groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.min("own").alias("low"), F.max("own").alias("high"))
+    # half-runs have no doc_id here, so a first one is a template's
+    recurs = F.col("first_doc").isNotNull() & (F.col("n") >= F.when(F.col("hash") % 2 == 0, min_docs).otherwise(run_docs))
+    often = F.coalesce(F.col("low") != F.col("high"), F.lit(False))
+    known = counted.where(recurs | often).select("hash", F.when(recurs, F.col("first_doc")).alias("first_doc"), often.alias("often"))
+    met = _hashes(keyed, True).join(known, "hash").where("if(line < 0, often, first_doc is not null and not (doc_id <=> first_doc))")
+    return met.selectExpr("doc_id", "row_key", "if(line < 0, -1 - line, line) as line", "if(line < 0, hash, null) as half").distinct()
 
 
-def _runs(keyed: DataFrame, drops: DataFrame, run_docs: int) -> DataFrame:
-    """(doc_id, row_key, line, start): the runs to cut from the lines that are not among ``drops`` (doc_id, row_key, line)."""
+def _runs(keyed: DataFrame, halves: DataFrame, drops: DataFrame, run_docs: int) -> DataFrame:
+    """(doc_id, row_key, line, start): the runs around ``halves`` to cut from the lines that are not among ``drops`` (doc_id, row_key, line)."""
     schema = keyed.select("doc_id", "row_key").schema
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,10 +214,8 @@ def _runs(keyed: DataFrame, drops: DataFrame, run_docs: int) -> DataFrame:
             columns = [part.column("doc_id").take(take), part.column("row_key").take(take), _signed(run[new]), pa.array(number[new].astype(np.int32)), starts]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "run", "line", "starts"])
 
-    often = _half_runs(keyed, False).groupBy("half").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low <> high").select("half")
     gone = drops.select(F.col("doc_id").alias("__i"), F.col("row_key").alias("__k"), F.col("line").alias("__l"))
-    met = _half_runs(keyed, True).join(often, "half")
-    left = met.join(gone, (F.col("row_key") == F.col("__k")) & (F.col("line") == F.col("__l")) & F.col("doc_id").eqNullSafe(F.col("__i")), "left_anti")
+    left = halves.join(gone, (F.col("row_key") == F.col("__k")) & (F.col("line") == F.col("__l")) & F.col("doc_id").eqNullSafe(F.col("__i")), "left_anti")
     held = checkpointed(left.groupBy(F.col("doc_id").alias("i"), F.col("row_key").alias("k")).agg(F.collect_set(F.struct("line", "half")).alias("hits")))
     total = held.agg(F.sum(F.size("hits"))).first()[0] or 0
     held = F.broadcast(held) if total <= BROADCAST_HITS else held
@@ -252,10 +252,9 @@ def cut_runs(text: str, cuts: list[tuple[int, int]]) -> tuple[str, int]:
 def drop_recurring_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS, run_docs: int = RUN_DOCS, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "n_lines", dropped_col: str = "n_dropped") -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text_col``, and two counts, which replace columns of the same name."""
     keyed = _keyed(docs, id_col, text_col)
-    paths = _paths(keyed, places=True)
-    marked = paths.join(recurring(keyed, min_docs, run_docs), "template").where("first_doc is not null and not (doc_id <=> first_doc)")
-    whole = checkpointed(marked.select("doc_id", "row_key", "line").distinct())
-    both = whole.withColumn("start", F.lit(-1)).union(_runs(keyed, whole, run_docs))
+    found = checkpointed(found_in(keyed, min_docs, run_docs))
+    whole = found.where("half is null").select("doc_id", "row_key", "line")
+    both = whole.withColumn("start", F.lit(-1)).union(_runs(keyed, found.where("half is not null"), whole, run_docs))
     drops = both.groupBy(F.col("doc_id").alias("__drop_id"), F.col("row_key").alias("__drop_key")).agg(F.collect_set(F.struct("line", "start")).alias("__drops"))
     source = docs.drop(lines_col, dropped_col)
     keyed_docs = source.withColumn("__row_key", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
@@ -266,14 +265,16 @@ def drop_recurring_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS, run_docs:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, text_col):
-            texts, counts, gone = [], [], []
-            for text, drops in zip(part.column(where).to_pylist(), part.column(len(names)).to_pylist()):
-                counts.append(0 if text is None else text.count("\n") + 1)
-                text, n = cut_runs(text, [(d["line"], d["start"]) for d in drops]) if drops else (text, 0)
-                texts.append(text)
-                gone.append(n)
-            columns = [pa.array(texts, pa.string()) if k == where else part.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32()), pa.array(gone, pa.int32())], names=[*names, lines_col, dropped_col])
+            texts, drops = part.column(where), part.column(len(names))
+            counts = pc.fill_null(pc.add(pc.count_substring(texts, "\n"), pa.scalar(1, pa.int32())), 0)
+            hit = drops.is_valid().to_numpy(zero_copy_only=False)
+            gone, at = np.zeros(len(hit), np.int32), np.flatnonzero(hit)
+            if len(at):
+                cuts = [cut_runs(t, [(d["line"], d["start"]) for d in own]) for t, own in zip(texts.take(pa.array(at)).to_pylist(), drops.take(pa.array(at)).to_pylist())]
+                gone[at] = [n for _, n in cuts]
+                texts = pc.replace_with_mask(texts, pa.array(hit), pa.array([t for t, _ in cuts], texts.type))
+            columns = [texts if k == where else part.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, counts, pa.array(gone)], names=[*names, lines_col, dropped_col])
 
     return joined.select(*names, "__drops").mapInArrow(cut, schema)
 

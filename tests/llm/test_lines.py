@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from probity.llm import lines
+from probity.llm import lines, words
 
 
 def brute(rows, least):
@@ -145,3 +145,26 @@ def test_places_of_tokens_do_not_depend_on_the_slice():
         assert together.exact()[at] == lines.Parsed(np.frombuffer(alone, np.uint8), np.array([0, len(alone)])).exact()[0]
         at += 1
     assert at == len(together.n)
+
+
+def test_words_and_hashes_are_the_same_in_chunks_of_any_size(monkeypatch):
+    texts = ["", "a\x0b\x0c\r\tb", "x" * 300 + " " + "y" * 70, "a", "é漢\x85\xa0\x1c\x00 1\n\n2", " "]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    expected = [w for t in raw for w in t.split()]
+    found = []
+    for size in (1, 7, 1 << 20):
+        monkeypatch.setattr(words, "_CHUNK", size)
+        begins, ends, hashes = words.words_in(data, offsets)
+        assert [data[a:b].tobytes() for a, b in zip(begins, ends)] == expected
+        found.append(hashes.tolist())
+    assert found[0] == found[1] == found[2] and len(set(found[0])) == len(set(expected))
+
+
+def test_texts_are_read_once_to_count_and_once_to_join(docs, monkeypatch):
+    """Templates and half-runs come of the same passes; two more take runs and cut them."""
+    passes, frame = [], type(docs)
+    own = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, run, *rest, **named: (passes.append(run.__name__), own(self, run, *rest, **named))[1])
+    lines.drop_recurring_lines(docs)
+    assert len(passes) == 4
