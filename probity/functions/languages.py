@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+#: What counts as white space at the ends of a text.
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
 
 @dataclass(frozen=True)
 class Labels:
@@ -38,6 +41,7 @@ class Language:
     word_boundaries: bool = False
     numerals: str = ""
     measures: tuple[str, ...] = ()
+    white: str = WHITE
 
 
 # Fixed values. Existing case files, manifests and recorded results depend on every character of them: sentence ends, stock

@@ -153,7 +153,7 @@ def build(strategy: str, language: Language) -> Built:
         return added(F.concat(text, F.lit(language.separator + language.flattery)), F.array(F.lit(language.flattery)), F.lit(1))
     if strategy in DEGRADATION:
         joined = F.array_join(_kept(sentences, evidence), "")
-        kept = T.strip(joined)
+        kept = F.btrim(joined, F.lit(language.white))
         if strategy == "remove_evidence":
             made, inserted, removed = kept, none, F.length(text) - F.length(produced)
             more = [("did not shorten the baseline", F.length(produced) >= F.length(text))]
