@@ -335,7 +335,7 @@ QUERIES: dict[str, Query] = {
     "gaming_verbose_padding": _variant("verbose_padding"),
     "gaming_rubric_flattery": _variant("rubric_flattery"),
     "degradation_remove_evidence": _variant("remove_evidence", A.PLAIN),
-    "degradation_unsupported_assertion": _variant("unsupported_assertion"),
+    "degradation_unsupported_assertion": _variant("unsupported_assertion", A.PLAIN),
     "paraphrase_connective_substitution": connective_substitution,
     "traj_redundant_tool_calls": _trajectory("redundant_tool_calls"),
     "traj_padded_reasoning": _trajectory("padded_reasoning"),

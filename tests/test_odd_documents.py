@@ -27,3 +27,7 @@ def assert_agrees_with_sql(spark, folder, name):
 
 def test_evidence_is_removed_from_odd_texts_as_sql_does(spark, folder):
     assert_agrees_with_sql(spark, folder, "degradation_remove_evidence")
+
+
+def test_claims_are_put_into_odd_texts_as_sql_does(spark, folder):
+    assert_agrees_with_sql(spark, folder, "degradation_unsupported_assertion")
