@@ -166,7 +166,7 @@ def build(strategy: str, language: Language) -> Built:
         return Built(made, inserted, size, more + _degradation_rules(produced))
     if strategy in PARAPHRASE:
         count = T.count_connectives(text, language)
-        same = T.without_connectives(text, language) == T.without_connectives(produced, language)
+        same = T.same_without_connectives(text, produced, language)
         rules = [("found no connective to replace", (count == 0) | (produced == text)), ("changed text outside the connective table", ~same)]
         return Built(T.substitute_connectives(text, language), none, F.concat(F.lit("replaced_connectives="), count.cast("string")), rules)
     raise Refusal(f"Unknown strategy {strategy!r}.")
