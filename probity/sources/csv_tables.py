@@ -166,7 +166,8 @@ def ten_digits(values: pd.Series) -> pd.Series:
 
 def score_layout(scores: DataFrame) -> DataFrame:
     columns = ["system_name", "case_id", "variant_id", "variant_type", ten_digits("score").alias("score"), ten_digits("score_stddev").alias("score_stddev"), F.col("sample_count").cast("string").alias("sample_count"), "notes"]
-    return scores.orderBy("ordinal").select(*columns)
+    # by the key too: where many rows have one ordinal, no task should get them all
+    return scores.orderBy("ordinal", "case_id", "variant_id").select(*columns)
 
 
 def review_layout(drafts: DataFrame) -> DataFrame:

@@ -4,7 +4,10 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from probity.plans import registry
+from probity.sources import csv_tables
 
 SF = "/root/testdata/sf0.001"
 #: English sentences, JSON lines, and numbers written with ten significant digits have no native form; they run in Arrow batches.
@@ -35,3 +38,13 @@ def test_an_audit_shuffles_scores_on_the_case_only(spark):
     text = plan(registry.QUERIES["audit_case_margins"](spark, SF))
     keys = set(re.findall(r"hashpartitioning\(([a-z_]+)#", text))
     assert keys <= {"l_orderkey", "case_id"}
+
+
+def test_a_score_table_is_sorted_by_many_tasks_whatever_the_ordinals(spark):
+    rows = spark.range(8000).select(*(F.lit("x").alias(c) for c in ("system_name", "variant_id", "variant_type", "notes")), F.col("id").cast("string").alias("case_id"), *(F.lit(1.0).alias(c) for c in ("score", "score_stddev", "sample_count")), (F.col("id") % 2).alias("ordinal"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = csv_tables.score_layout(rows).rdd.glom().map(len).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 8000 and max(sizes) < 4000
